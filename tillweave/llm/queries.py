@@ -5,18 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillweave.llm import byte_bpe
+from tillweave.llm import byte_bpe, fold_hash, nearest_time
 from tillweave.session import table
 
+P3_SQL = """
+with f as (select entry_id, lower(trim(account)) account, amount, posted_at from feed_entries),
+c as (select u.ord, f.entry_id, row_number() over (partition by u.ord order by abs(epoch_us(f.posted_at) - epoch_us(u.booked_at)), f.entry_id) k
+      from unmatched u join f on f.account = lower(trim(u.account)) and f.amount = -u.amount
+       and abs(epoch_us(f.posted_at) - epoch_us(u.booked_at)) <= 172800000000)
+select ord, entry_id from c where k = 1
+"""
+
+_P5_WORDS = """
+with w as (select *, list_aggregate(list_sort(regexp_extract_all(lower(coalesce(description, '')), '[\\p{L}\\p{N}]+')), 'string_agg', ' ') words from ledger),
+g as (select ord, min(ord) over (partition by account, amount, date, words) head, count(*) over (partition by account, amount, date, words) copies from w)
+"""
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = table(spark, sf_dir, "unmatched").select("ord", "account", (-F.col("amount")).cast("decimal(18,2)").alias("amount"), "booked_at")
+    feed = table(spark, sf_dir, "feed_entries").select("entry_id", "account", "amount", "posted_at")
+    tidy = F.lower(F.trim("account"))
+    pairs = nearest_time.match_nearest(
+        legs.withColumn("account", tidy), feed.withColumn("account", tidy), ("account", "amount"), "ord", "booked_at", "entry_id", "posted_at", tolerance_us=nearest_time.HOURS_48
+    )
+    return pairs.select(F.col("left_id").alias("ord"), F.col("right_id").alias("entry_id"))
+
+
+def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_hash.collapse(table(spark, sf_dir, "ledger"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _collapsed(spark, sf_dir).select(F.col("_to").alias("first_ord"), F.col("_id").alias("copy_ord"))
+
+
+def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "ledger").select("ord", "account", "date", "amount", "description")
+    return fold_hash.with_copies(rows, _collapsed(spark, sf_dir))
+
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": P3_SQL,
+        "p5_found": _P5_WORDS + "select head as first_ord, ord as copy_ord from g where ord <> head",
+        "p5_copies": _P5_WORDS + "select l.ord, l.account, l.date, l.amount, l.description, g.copies from g join ledger l using (ord) where g.ord = g.head",
+    }
