@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import byte_bpe, fold_hash, nearest_time
+from tillweave.llm import byte_bpe, canon_map, fold_hash, nearest_time
 from tillweave.session import table
 
 P3_SQL = """
@@ -24,6 +24,20 @@ g as (select ord, min(ord) over (partition by account, amount, date, words) head
 """
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    canon = table(spark, sf_dir, "canon")
+    rules = canon_map.map_values(table(spark, sf_dir, "rules"), canon, "category", "category", "rule_id", alone="last")
+    book = canon_map.map_values(table(spark, sf_dir, "cashbook"), canon, "payee", "description", "entry_no", alone="first")
+    return rules.select(F.lit("rules").alias("src"), "row_id", "canon_id").unionByName(book.select(F.lit("cashbook").alias("src"), "row_id", "canon_id"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = p1_found(spark, sf_dir).filter("canon_id = 0")
+    rules = table(spark, sf_dir, "rules").select(F.lit("rules").alias("src"), F.col("rule_id").alias("row_id"), F.col("category").alias("value"))
+    book = table(spark, sf_dir, "cashbook").select(F.lit("cashbook").alias("src"), F.col("entry_no").alias("row_id"), F.col("description").alias("value"))
+    return none.join(rules.unionByName(book), ["src", "row_id"]).groupBy("src", "value").agg(F.count("*").alias("rows"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = table(spark, sf_dir, "unmatched").select("ord", "account", (-F.col("amount")).cast("decimal(18,2)").alias("amount"), "booked_at")
     feed = table(spark, sf_dir, "feed_entries").select("entry_id", "account", "amount", "posted_at")
@@ -52,7 +66,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
