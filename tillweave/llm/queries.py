@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import byte_bpe, canon_map, fold_hash, nearest_time
+from tillweave.llm import byte_bpe, canon_map, fold_hash, leak_search, nearest_time, residue
 from tillweave.session import table
 
 P3_SQL = """
@@ -65,8 +65,30 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leak_search.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select(F.col("item_id").cast("int").alias("item_id"), "doc_id")
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_search.find_paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "documents"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return residue.without_residue(docs.select("doc_id", "lang", "source", "n_chars"), residue.find_residue(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
