@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillweave.llm import byte_bpe, canon_map, fold_hash, leak_search, nearest_time, residue
+from tillweave.llm import byte_bpe, canon_map, fold_hash, leak_search, nearest_time, record_linkage, residue
 from tillweave.session import table
 
 P3_SQL = """
@@ -48,6 +48,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("ord"), F.col("right_id").alias("entry_id"))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[record_linkage.LinkageIndex, DataFrame]:
+    index = record_linkage.LinkageIndex(spark)
+    index.accept(record_linkage.records(table(spark, sf_dir, "ledger"), "ord"))
+    return index, index.link(record_linkage.records(table(spark, sf_dir, "incoming"), "in_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir)[1]
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, links = _linked(spark, sf_dir)
+    return index.update_clusters(links)
+
+
 def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_hash.collapse(table(spark, sf_dir, "ledger"))
 
@@ -88,7 +103,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
