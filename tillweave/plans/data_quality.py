@@ -11,7 +11,33 @@ from tillweave.session import table
 from tillweave.sources.strict_records import accepted, parse_records, rejected
 
 
-@query("p2_found")
+# The grammar of a record as patterns: fields, then typed cells, in the order of the reasons.
+_F = r"""(?:"(?:[^"]|"")*"|[^",][^,]*|)"""
+_NUM = r"\\+?[+-]?(\\d+(\\.\\d{0,2})?|\\.\\d{1,2})".replace("\\\\", "\\")
+
+
+def _cell(k: int) -> str:
+    field = f"regexp_extract(raw, '^(?:{_F},){{{k}}}({_F})(?:,|$)', 1)"
+    return f"case when {field} like '\"%' then replace(substr({field}, 2, length({field}) - 2), '\"\"', '\"') else {field} end"
+
+
+def _is_number(c: str) -> str:
+    bare = f"replace(case when trim({c}) like '(%)' then trim(substr(trim({c}), 2, length(trim({c})) - 2)) else trim({c}) end, ' ', '')"
+    return f"regexp_full_match({bare}, '{_NUM}')"
+
+
+_P2_REASONS = f"""
+with r as (select line_id, regexp_replace(raw, '\\r$', '') raw from raw_lines where (line_no is null or line_no <> 1) and raw is not null and regexp_replace(raw, '[\\r\\n]', '', 'g') <> ''),
+q as (select *, regexp_full_match(raw, '{_F}(?:,{_F})*') fine from r),
+n as (select *, length(b) - length(replace(b, ',', '')) + 1 columns from (select *, regexp_replace(raw, '(^|,)"(?:[^"]|"")*"', '\\1q', 'g') b from q)),
+c as (select *, {_cell(2)} d, {_cell(5)} a, {_cell(9)} l from n),
+f as (select line_id, case when not fine then 'quoting' when columns <> 10 then 'column_count'
+  when trim(d) <> '' and (not regexp_full_match(trim(d), '\\d{{4}}-\\d\\d-\\d\\d \\d\\d:\\d\\d:\\d\\d') or try_strptime(trim(d), '%Y-%m-%d %H:%M:%S') is null) then 'bad_date'
+  when not {_is_number("a")} then 'bad_amount' when trim(l) not in ('', '-') and not {_is_number("l")} then 'bad_balance' end reason from c)
+"""
+
+
+@query("p2_found", _P2_REASONS + "select line_id, reason from f where reason is not null")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected(parse_records(table(spark, sf_dir, "raw_lines")))
 
@@ -21,7 +47,7 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(parse_records(table(spark, sf_dir, "raw_lines")))
 
 
-@query("p2_reasons")
+@query("p2_reasons", _P2_REASONS + "select reason, count(*) as records from f where reason is not null group by reason")
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("records"))
 

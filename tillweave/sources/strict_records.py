@@ -55,8 +55,9 @@ def money(text: str) -> Decimal | None:
     if negative:
         s = s[1:-1].strip()
     s = s.replace(" ", "")
+    s = s.removeprefix("+")
     sign = s[:1]
-    if sign in ("+", "-") and sign:
+    if sign and sign in "+-":
         s = s[1:]
     if not _NUMBER.fullmatch(s):
         raise FieldError
