@@ -24,6 +24,15 @@ g as (select ord, min(ord) over (partition by account, amount, date, words) head
 """
 
 
+_P8_GRAMS = """
+with dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
+iw as (select item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') w from eval_items where passage is not null),
+dg as (select distinct doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from dw)),
+ig as (select distinct item_id, array_to_string(w[i:i + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from iw)),
+f as (select distinct item_id, doc_id from ig join dg using (g))
+"""
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     canon = table(spark, sf_dir, "canon")
     rules = canon_map.map_values(table(spark, sf_dir, "rules"), canon, "category", "category", "rule_id", alone="last")
@@ -109,6 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": P3_SQL,
+        "p8_found": _P8_GRAMS + "select item_id, doc_id from f",
+        "p8_items": _P8_GRAMS + "select item_id, count(*) as documents from f group by item_id",
         "p5_found": _P5_WORDS + "select head as first_ord, ord as copy_ord from g where ord <> head",
         "p5_copies": _P5_WORDS + "select l.ord, l.account, l.date, l.amount, l.description, g.copies from g join ledger l using (ord) where g.ord = g.head",
     }
