@@ -138,7 +138,7 @@ def same_words(a: str | None, b: str | None) -> bool:
 def canonical(text: str | None) -> str:
     """The sorted folded words, only for rows whose hashes collided without being the same."""
     fold = fold_table()
-    return " ".join(sorted("".join(chr(fold[ord(c)] or 32) for c in text or "").split(" ")))
+    return " ".join(sorted("".join(chr(fold[ord(c)] or 32) for c in text or "").split()))
 
 
 def _hashed(rows: DataFrame, text_col: str) -> DataFrame:
