@@ -44,7 +44,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    # Made now so that the file system can be told to drop it when the session ends.
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
