@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillweave.functions.columns import TOTAL, UNCATEGORISED, income_label, is_income, is_spend, total
+from tillweave.functions.columns import TOTAL, UNCATEGORISED, income_label, total
+from tillweave.session import written
 
 OTHER, OTHER_INCOME, UNMATCHED = "Other", "Other income", "Transfers (unmatched)"
 MIN_SHARE, MIN_SHARE_SUB = "0.01", "0.005"
@@ -31,23 +32,39 @@ def _link(df: DataFrame, source_layer: str, source, target_layer: str, target, v
     return keyed.select(F.lit(source_layer).alias("source_layer"), "source", F.lit(target_layer).alias("target_layer"), "target", "value", F.col("count").cast("long").alias("count"))
 
 
+_CUBE = ("account", "category", "subcategory", "is_transfer", "paired", "side")
+
+
+def cube(rows: DataFrame) -> DataFrame:
+    """All that flows need of the rows, summed: one pass with map-side partials, then as small as the labels.
+
+    side is -1, 0 or 1 by the sign of the amount, value its absolute sum. A cube is its own cube.
+    """
+    if "side" in rows.columns:
+        return rows
+    paired = F.col("pair_id").isNotNull() if "pair_id" in rows.columns else F.lit(False)
+    keyed = rows.select("account", "category", "subcategory", "is_transfer", paired.alias("paired"), F.signum("amount").cast("int").alias("side"), "amount")
+    return keyed.groupBy(*_CUBE).agg(total(F.abs("amount")).alias("value"), F.count("*").alias("count"))
+
+
 def income_flows(rows: DataFrame, min_share: str = MIN_SHARE) -> DataFrame:
     """Income labels to accounts; labels below min_share of all income flow together."""
-    per = rows.filter(is_income()).groupBy(income_label(F.col("category"), F.col("subcategory")).alias("label"), "account").agg(total("amount").alias("value"), F.count("*").alias("count"))
+    earned = cube(rows).filter(~F.col("is_transfer") & (F.col("side") > 0))
+    per = earned.groupBy(income_label(F.col("category"), F.col("subcategory")).alias("label"), "account").agg(total("value").alias("value"), F.sum("count").alias("count"))
     small = _with_grand(per.groupBy("label").agg(F.sum("value").alias("amount"))).select("label", F.when(_below(min_share), OTHER_INCOME).otherwise(F.col("label")).alias("shown"))
     return _link(per.join(small, "label"), "income", F.col("shown"), "account", F.col("account"))
 
 
 def spend_labels(rows: DataFrame, min_share: str = MIN_SHARE) -> DataFrame:
     """(category, shown): categories below min_share of all spend are shown as one; the uncategorised never."""
-    label = F.when(F.col("category") == "", UNCATEGORISED).otherwise(F.col("category"))
-    sums = _with_grand(rows.filter(is_spend()).groupBy(label.alias("label")).agg(total(-F.col("amount")).alias("amount")))
+    sums = _with_grand(_spend(rows).groupBy("label").agg(total("value").alias("amount")))
     return sums.select("label", F.when(_below(min_share) & (F.col("label") != UNCATEGORISED), OTHER).otherwise(F.col("label")).alias("shown"))
 
 
 def _spend(rows: DataFrame) -> DataFrame:
     label = F.when(F.col("category") == "", UNCATEGORISED).otherwise(F.col("category"))
-    return rows.filter(is_spend()).groupBy("account", label.alias("label"), "subcategory").agg(total(-F.col("amount")).alias("value"), F.count("*").alias("count"))
+    spent = cube(rows).filter(~F.col("is_transfer") & (F.col("side") < 0))
+    return spent.groupBy("account", label.alias("label"), "subcategory").agg(total("value").alias("value"), F.sum("count").alias("count"))
 
 
 def account_category_flows(rows: DataFrame, min_share: str = MIN_SHARE) -> DataFrame:
@@ -91,14 +108,15 @@ def transfer_flows(netted: DataFrame) -> DataFrame:
 
 def unmatched_flows(netted: DataFrame) -> DataFrame:
     """Unmatched legs by account and direction, towards one node of fixed name."""
-    legs = netted.filter(F.col("is_transfer") & F.col("pair_id").isNull() & (F.col("amount") != 0)).select("account", (F.col("amount") < 0).alias("debit"), F.abs("amount").alias("value"), F.lit(1).alias("count"))
+    legs = cube(netted).filter(F.col("is_transfer") & ~F.col("paired") & (F.col("side") != 0)).select("account", (F.col("side") < 0).alias("debit"), "value", "count")
     out = _link(legs.filter("debit"), "account", F.col("account"), "category", F.lit(UNMATCHED))
     return out.unionByName(_link(legs.filter(~F.col("debit")), "category", F.lit(UNMATCHED), "account", F.col("account")))
 
 
 def all_links(netted: DataFrame, min_share: str = MIN_SHARE, min_share_sub: str = MIN_SHARE_SUB) -> DataFrame:
+    sums = written(cube(netted), "flows")
     transfers = transfer_flows(netted).select(F.lit("account").alias("source_layer"), "source", F.lit("account").alias("target_layer"), "target", "value", "count")
-    parts = (transfers, unmatched_flows(netted), income_flows(netted, min_share), account_category_flows(netted, min_share), category_sub_flows(netted, min_share, min_share_sub))
+    parts = (transfers, unmatched_flows(sums), income_flows(sums, min_share), account_category_flows(sums, min_share), category_sub_flows(sums, min_share, min_share_sub))
     return reduce(DataFrame.unionByName, (p.select(*LINK) for p in parts))
 
 

@@ -24,13 +24,15 @@ def _line_key(top: Column | str) -> Column:
     return F.bround(top, 1)
 
 
+def by_page(words: DataFrame) -> DataFrame:
+    """words partitioned by page: the one exchange that all steps below share, as they group within pages."""
+    return words.repartition(*PAGE)
+
+
 def lines(words: DataFrame) -> DataFrame:
-    """Lines of each page by rounded height: text in flow order, first word's flow, words from left to right."""
+    """Lines of each page by rounded height: text in flow order, and the first word's flow."""
     cells = F.array_sort(F.collect_list(F.struct("flow_idx", "text")))
-    across = F.array_sort(F.collect_list(F.struct("x0", "flow_idx", "text", "x1", "top")))
-    return words.groupBy(*PAGE, _line_key("top").alias("y")).agg(
-        F.array_join(F.transform(cells, lambda w: w.text), " ").alias("line"), F.min("flow_idx").alias("first_flow"), F.min("top").alias("line_top"), across.alias("words"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height")
-    )
+    return words.groupBy(*PAGE, _line_key("top").alias("y")).agg(F.array_join(F.transform(cells, lambda w: w.text), " ").alias("line"), F.min("flow_idx").alias("first_flow"), F.min("top").alias("line_top"))
 
 
 def header_lines(words: DataFrame, profile: Profile) -> DataFrame:
@@ -38,8 +40,10 @@ def header_lines(words: DataFrame, profile: Profile) -> DataFrame:
     holds = F.lit(True)
     for c in profile.columns:
         holds = holds & F.contains("line", F.lit(c.header))
-    best = F.min_by(F.struct("y", "words", "page_width", "page_height"), "first_flow").alias("_h")
-    return lines(words).filter(holds).groupBy(*PAGE).agg(best).select(*PAGE, "_h.*")
+    best = lines(words).filter(holds).groupBy(*PAGE).agg(F.min_by("y", "first_flow").alias("y"))
+    across = F.array_sort(F.collect_list(F.struct("x0", "flow_idx", "text", "x1", "top")))
+    own = words.join(best, list(PAGE)).filter(_line_key("top") == F.col("y"))
+    return own.groupBy(*PAGE).agg(across.alias("words"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
 
 
 def header_blocks(words: DataFrame, profile: Profile) -> DataFrame:
@@ -95,13 +99,12 @@ def _table_bottom(words: DataFrame, pages: DataFrame, profile: Profile) -> DataF
 def table_words(words: DataFrame, profile: Profile) -> DataFrame:
     """The words between header and end of table, with their line and their column's field."""
     pages = _table_bottom(words, column_bounds(words, profile), profile).select(*PAGE, "header_top", "bottom", "bounds")
-    inside = words.join(pages, list(PAGE)).filter((F.col("top") > F.col("header_top") + BELOW_HEADER) & (F.col("top") < F.col("bottom")))
-    down = Window.partitionBy(*PAGE).orderBy("top", "flow_idx")
-    step = F.coalesce(F.abs(F.col("top") - F.lag("top").over(down)) >= profile.line_tolerance, F.lit(False)).cast("int")
     middle = (F.col("x0") + F.col("x1")) / 2
     column = F.get(F.filter("bounds", lambda c: (c.x0 <= middle) & (middle < c.x1)), F.lit(0)).field
-    numbered = inside.withColumn("_step", step).withColumn("line_no", F.sum("_step").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.withColumn("field", column).select(*PAGE, "line_no", "field", "top", "flow_idx", "text")
+    inside = words.join(pages, list(PAGE)).filter((F.col("top") > F.col("header_top") + BELOW_HEADER) & (F.col("top") < F.col("bottom"))).select(*PAGE, column.alias("field"), "top", "flow_idx", "text")
+    down = Window.partitionBy(*PAGE).orderBy("top", "flow_idx")
+    step = F.coalesce(F.abs(F.col("top") - F.lag("top").over(down)) >= profile.line_tolerance, F.lit(False)).cast("int")
+    return inside.withColumn("_step", step).withColumn("line_no", F.sum("_step").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
 def table_lines(words: DataFrame, profile: Profile) -> DataFrame:
@@ -119,7 +122,7 @@ def table_lines(words: DataFrame, profile: Profile) -> DataFrame:
 def raw_rows(words: DataFrame, profile: Profile) -> DataFrame:
     """Raw text rows of all pages: wrapped descriptions joined, rows without one gone, numbered by file."""
     fields = sorted(profile.fields)
-    rows = table_lines(words, profile)
+    rows = table_lines(by_page(words), profile)
     others = [f for f in fields if f != "description"]
     if profile.multiline == "merge_into_previous":
         down = Window.partitionBy(*PAGE).orderBy("line_no")
