@@ -20,8 +20,8 @@ def brute(left, right, tolerance):
     return sorted(out)
 
 
-@pytest.mark.parametrize("trie_rows", [3, 7, 1 << 15])
-def test_against_brute_force(spark, trie_rows):
+@pytest.mark.parametrize("trie_rows, salt_rows", [(3, 1_000_000), (7, 5), (1 << 15, 2)])
+def test_against_brute_force(spark, trie_rows, salt_rows):
     rnd = random.Random(trie_rows)
     stamp = lambda: EPOCH + dt.timedelta(hours=rnd.randrange(0, 900), seconds=rnd.choice([0, 0, 30]))
     key = lambda: rnd.choice(["hot", "hot", "hot", "a", "b", None])
@@ -30,7 +30,7 @@ def test_against_brute_force(spark, trie_rows):
     right += right[:20]
     a = spark.createDataFrame(left, "k string, i long, t timestamp_ntz").repartition(3)
     b = spark.createDataFrame(right, "k string, i long, t timestamp_ntz").selectExpr("*", "1 as _id", "2 as _bucket")
-    got = match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR, trie_rows=trie_rows).collect()
+    got = match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR, trie_rows=trie_rows, salt_rows=salt_rows).collect()
     assert sorted(map(tuple, got)) == brute(left, right, dt.timedelta(hours=48))
 
 

@@ -55,6 +55,8 @@ class CanonTrie:
         self.root = _Node()
         self.exact: dict[str, dict[str, set[int]]] = {}
         self.from_anywhere = alone == "first"
+        # Words of a value are tried together in as many as entries have, not in every number.
+        self.sizes = sorted({n for _, name in entries if (n := sum(map(len, self._parts(name)))) > 1}, reverse=True)
         paths: list[tuple[str, str, int]] = []
         singles: dict[str, set[int]] = {}
         for number, name in entries:
@@ -142,7 +144,7 @@ class CanonTrie:
             return 0
         whole = "".join(words)
         windows = [whole]
-        for size in (4, 3, 2):
+        for size in self.sizes:
             windows += ["".join(words[i : i + size]) for i in range(len(words) - size + 1)]
         windows = list(dict.fromkeys(windows))
 
@@ -154,7 +156,9 @@ class CanonTrie:
         if hit is not None:
             return hit
         nearest: dict[int, set[int]] = {}
-        for w in windows:
+        for w in windows:  # the whole value comes first; where that is near, no part of it is asked
+            if nearest and w is not whole:
+                break
             for d in range(1, allowed_errors(len(w)) + 1):
                 near = [s for (kind, e), s in self.within(w, d).items() if kind == "full" and e == d]
                 if near:

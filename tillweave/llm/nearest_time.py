@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.session import written
+
 HOURS_48 = 48 * 3600 * 1_000_000
 #: Rows of one trie. With at most 2^16 entities, 6 bits of level and 41 bits of time a prefix is one integer.
 TRIE_ROWS = 1 << 15
+#: Queries of one entity and bucket that one task answers; more are dealt out over several tasks.
+SALT_ROWS = 1_000_000
 
 
 class XFastTrie:
@@ -80,7 +84,7 @@ def _choose(time: np.ndarray, t1: np.ndarray, id1: np.ndarray, t2: np.ndarray, i
 
 
 def match_nearest(
-    left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_id: str, left_time: str, right_id: str, right_time: str, tolerance_us: int, trie_rows: int = TRIE_ROWS
+    left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_id: str, left_time: str, right_id: str, right_time: str, tolerance_us: int, trie_rows: int = TRIE_ROWS, salt_rows: int = SALT_ROWS
 ) -> DataFrame:
     """(left_id, right_id): for each row of left the row of right that agrees in keys and is nearest in time.
 
@@ -105,10 +109,19 @@ def match_nearest(
     reach = F.sequence(F.shiftright(F.col("_t") - tolerance_us, bits), F.shiftright(F.col("_t") + tolerance_us, bits))
     entries = entries.withColumn("_bucket", F.explode(reach))
     legs = slim(left, left_id, left_time, 1).withColumn("_bucket", F.shiftright("_t", bits))
-    order = [*names, "_bucket", "_t", "_side", "_id"]
-    rows = entries.select(order).unionByName(legs.select(order)).repartition(*names, "_bucket").sortWithinPartitions(*order)
+    group = [*names, "_bucket", "_salt"]
+    order = [*group, "_t", "_side", "_id"]
+    # Where an entity has very many queries in a bucket they are dealt out, and its candidates copied to each deal.
+    hot = legs.groupBy(*names, "_bucket").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("_salts")).filter("_salts > 1")
+    if hot.isEmpty():
+        legs, entries = legs.withColumn("_salt", F.lit(0)), entries.withColumn("_salt", F.lit(0))
+    else:
+        hot = written(hot, "hot-entities")
+        dealt = F.coalesce("_salts", F.lit(1))
+        legs = legs.join(hot, [*names, "_bucket"], "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), dealt).cast("int"))
+        entries = entries.join(hot, [*names, "_bucket"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
+    rows = entries.select(order).unionByName(legs.select(order)).repartition(*group).sortWithinPartitions(*order)
     schema = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType())])
-    group = [*names, "_bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key = None  # the entity that the rows before ended with, its last candidate and its open queries
