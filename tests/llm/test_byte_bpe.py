@@ -64,3 +64,9 @@ def test_scan_is_the_sequential_automaton():
             state = rows[of_class[c], state]
         got = B.scan_states(classes, 64)
         assert got[1:].tolist() == want[1:]
+
+
+def test_long_text_in_segments(library):
+    text = ("It's a long  text's\n\twith 'quotes' and 123 numbers; naïve 日本 " * 300) + "x" * 5000 + " 'll end'"
+    got = B.encode_batch(pa.array([text]), B.DEFAULT_VOCABULARY, run_bytes=700).to_pylist()
+    assert got == expect(library, [text])

@@ -46,6 +46,8 @@ def test_one_group_of_most_rows_and_long_texts(spark):
 def test_hash_and_comparison():
     a, b = H.hash_texts(pa.array(["a b", "B, a!", "ab", None, "", "a a b", "a b b"]))
     assert a[0] == a[1] != a[2] and a[3] == a[4] == 0 and a[5] != a[6] and b[0] == b[1]
+    long = pa.array(["Alpha beta, gamma " * 50])
+    assert H.hash_texts(long) == H.hash_texts(long, 20)
     assert H.same_words("x - Y", "y x") and not H.same_words("x x y", "x y y") and not H.same_words("ab", "a b") and H.same_words(None, "!")
 
 

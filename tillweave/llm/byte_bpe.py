@@ -300,7 +300,7 @@ def encode_pieces(data: np.ndarray, lengths: np.ndarray, vocabulary: str) -> Ite
     first = first[:-1]
     begins = np.empty(len(codes), bool)
     at = 0
-    while at < len(codes):  # a scan ends before a piece of the next text or the next line break
+    while at < len(codes):  # a scan ends where a text does
         stop = min(len(codes), at + SCAN_CHARS)
         if stop < len(codes):
             cut = np.flatnonzero(first[at + 1 : stop])
@@ -317,7 +317,29 @@ def encode_pieces(data: np.ndarray, lengths: np.ndarray, vocabulary: str) -> Ite
         yield ids, part, counts
 
 
-def encode_batch(texts: pa.Array, vocabulary: str) -> pa.ListArray:
+def _segments(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A text's bytes in parts of about limit bytes, cut between a letter and a blank.
+
+    A piece always begins there and what follows doesn't depend on what came before, so the parts can be
+    encoded one by one. Where there is no such place the part goes on to the next one.
+    """
+    at = 0
+    while at < len(data):
+        stop = at + limit
+        while stop < len(data):
+            part = data[at:stop]
+            blank = np.isin(part[1:], (9, 10, 13, 32))
+            folded = part[:-1] | 0x20
+            cuts = np.flatnonzero(blank & (folded >= ord("a")) & (folded <= ord("z")))
+            if len(cuts):
+                stop = at + 1 + int(cuts[-1])
+                break
+            stop += limit
+        yield data[at:stop]
+        at = stop
+
+
+def encode_batch(texts: pa.Array, vocabulary: str, run_bytes: int = 4 << 20) -> pa.ListArray:
     """Ids of each text; an empty list for a null and for an empty text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     buffers = texts.buffers()
@@ -326,12 +348,17 @@ def encode_batch(texts: pa.Array, vocabulary: str) -> pa.ListArray:
     if not len(data):
         return pa.array([[]] * len(texts), pa.list_(pa.int32()))
     edges = offsets - offsets[0]
-    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     ids, per_text = [], np.zeros(len(texts), np.int64)
-    for block, at, counts in encode_pieces(data, lengths, vocabulary):
-        ids.append(block)
-        owner = np.searchsorted(edges, at, side="right") - 1
-        per_text += np.bincount(owner, counts, len(texts)).astype(np.int64)
+    if len(texts) == 1 and len(data) > run_bytes:
+        for part in _segments(data, run_bytes):
+            ids += [block for block, _, _ in encode_pieces(part, np.array([int((part & 0xC0 != 0x80).sum())]), vocabulary)]
+        per_text[0] = sum(map(len, ids))
+    else:
+        lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        for block, at, counts in encode_pieces(data, lengths, vocabulary):
+            ids.append(block)
+            owner = np.searchsorted(edges, at, side="right") - 1
+            per_text += np.bincount(owner, counts, len(texts)).astype(np.int64)
     out = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
 
@@ -363,7 +390,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             for a, b in _bounded(batch.column(1), run_bytes):
                 if b > a:
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([part.column(0), encode_batch(part.column(1), vocabulary)], names=names)
+                    yield pa.RecordBatch.from_arrays([part.column(0), encode_batch(part.column(1), vocabulary, run_bytes)], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -75,8 +75,24 @@ def word_hashes(codes: np.ndarray, breaks: np.ndarray, multiplier: int) -> tuple
     return starts, ends, (total[ends] - total[starts]) * inverse[starts]
 
 
-def hash_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the words of each text, blind to their order; 0 for a text without words."""
+def _parts(text: str, limit: int) -> list[str]:
+    """text cut into parts of at least limit characters, each but the last with a separator at its end."""
+    fold, out, at = fold_table(), [], 0
+    while len(text) - at > limit:
+        stop = next((k for k in range(at + limit, len(text)) if not fold[ord(text[k])]), len(text))
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
+def hash_texts(texts: pa.Array, limit: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words of each text, blind to their order; 0 for a text without words.
+
+    As the words' hashes are added up, the parts of a very long text are hashed one by one.
+    """
+    if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_py()) > limit:
+        sums = [hash_texts(pa.array([p])) for p in _parts(texts[0].as_py(), limit)]
+        return sum(a for a, _ in sums), sum(b for _, b in sums)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     codes = fold_table()[np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)]
@@ -148,9 +164,12 @@ def _hashed(rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-            step = max(1, int(RUN_BYTES // max(1.0, sizes.mean() if len(sizes) else 1.0)))
-            for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
+            run = np.cumsum(sizes) // RUN_BYTES
+            heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
+            # A text that fills a run by itself is taken alone.
+            cuts = np.unique(np.concatenate([heads, heads + 1, [batch.num_rows]]))
+            for k, stop in zip(cuts.tolist(), cuts.tolist()[1:]):
+                part = batch.slice(k, stop - k)
                 h1, h2 = hash_texts(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h1), pa.array(h2)], names=schema.names)
 
