@@ -75,7 +75,9 @@ def runs(intervals):
     return out
 
 
-def test_periods_against_day_sets(spark):
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_periods_against_day_sets(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rnd = random.Random(2)
     rows, want = [], []
     for account in ["a", "b", "c", None]:
@@ -91,6 +93,7 @@ def test_periods_against_day_sets(spark):
     assert periods_and_gaps(df.limit(0)).count() == 0
     edge = spark.createDataFrame([("x", dt.date(1, 1, 1), dt.date(9999, 12, 31), 0)], df.schema)
     assert [tuple(r) for r in periods_and_gaps(edge).collect()] == [("x", "period", "0001-01-01", "9999-12-31")]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_fill_and_continuity_against_a_loop(spark):

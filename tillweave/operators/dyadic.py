@@ -9,8 +9,11 @@ blocks are coalesced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 LEVELS = 23
 #: Days are counted from here so that no count is negative.
 ORIGIN = "0001-01-01"
+#: Days set aside for each key when many keys are merged on one axis.
+KEY_BITS = 32
 
 
 def dyadic_blocks(intervals: DataFrame, key: str, first: str, last: str) -> DataFrame:
@@ -68,6 +73,17 @@ def merge_blocks(level: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.n
     return start[head], np.concatenate([end[:-1][head[1:]], end[-1:]])
 
 
+def _changes(keys: pa.Array) -> np.ndarray:
+    """True where a key differs from the one before; null equals null."""
+    out = np.ones(len(keys), bool)
+    if len(keys) > 1:
+        a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False)
+        both = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        out[1:] = differ & ~both
+    return out
+
+
 def periods_and_gaps(intervals: DataFrame, key: str = "account", first: str = "period_start", last: str = "period_end") -> DataFrame:
     """(key, kind, first_day, last_day) with kind `period` for covered runs of days and `gap` between them.
 
@@ -78,20 +94,36 @@ def periods_and_gaps(intervals: DataFrame, key: str = "account", first: str = "p
     blocks = dyadic_blocks(intervals, key, first, last)
     schema = T.StructType([blocks.schema[key], T.StructField("kind", T.StringType()), T.StructField("_first", T.IntegerType()), T.StructField("_last", T.IntegerType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        start, end = merge_blocks(group["level"].to_numpy(np.int64), group["index"].to_numpy(np.int64))
-        n = len(start)
-        return pd.DataFrame(
-            {
-                key: [group[key].iloc[0]] * (2 * n - 1),
-                "kind": ["period"] * n + ["gap"] * (n - 1),
-                "_first": np.concatenate([start, end[:-1]]).astype(np.int32),
-                "_last": np.concatenate([end - 1, start[1:] - 1]).astype(np.int32),
-            }
-        )
+    def merged_rows(table: pa.Table) -> pa.RecordBatch:
+        """Periods and gaps of whole keys: keys are set far apart on one axis and merged together."""
+        keys = table.column(0).combine_chunks()
+        level, index = (table.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+        place = np.cumsum(_changes(keys)) - 1
+        start, end = merge_blocks(level, index + (place << (KEY_BITS - level)))
+        owner = start >> KEY_BITS
+        days = lambda x, o: (x - (o << KEY_BITS)).astype(np.int32)
+        gap = np.flatnonzero(owner[1:] == owner[:-1])
+        begin = np.concatenate([days(start, owner), days(end[gap], owner[gap])])
+        stop = np.concatenate([days(end - 1, owner), days(start[gap + 1] - 1, owner[gap])])
+        kinds = pa.array(["period"] * len(start) + ["gap"] * len(gap))
+        heads = np.flatnonzero(_changes(keys))[np.concatenate([owner, owner[gap]])]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(heads)), kinds, pa.array(begin), pa.array(stop)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the blocks of the key that the rows so far end with; their number is bounded
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            last = int(np.flatnonzero(_changes(rows.column(0).combine_chunks()))[-1])
+            if last:
+                yield merged_rows(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield merged_rows(held)
 
     def day(column: str) -> F.Column:
         return F.date_format(F.date_add(F.to_date(F.lit(ORIGIN)), F.col(column)), "yyyy-MM-dd")
 
-    merged = blocks.groupBy(key).applyInPandas(run, schema)
+    merged = blocks.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
     return merged.select(key, "kind", day("_first").alias("first_day"), day("_last").alias("last_day"))
