@@ -26,6 +26,12 @@ def test_payees(value, want):
     assert CanonTrie(PAYEES, "first").find(value) == want
 
 
+def test_equally_near_entries():
+    twins = CanonTrie([(1, "Folaistock Pharmacy"), (2, "Folofiock Pharmacy"), (3, "Abcdefgh Shop"), (4, "Abcdefgi Shop")], "first")
+    assert twins.find("Folasiock Pharmacy") == 1
+    assert twins.find("Abcdefgx Shop") == 0
+
+
 def osa(a, b):
     d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i in range(1, len(a) + 1):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ def fold(text: str) -> list[str]:
 
 
 def allowed_errors(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 8 else 2 if length < 14 else 3
+    return 0 if length < 5 else 1 if length < 7 else 2 if length < 14 else 3
 
 
 @dataclass
@@ -54,6 +55,7 @@ class CanonTrie:
         """alone: which part may stand for the entry where no other entry has it, `first` or `last`."""
         self.root = _Node()
         self.exact: dict[str, dict[str, set[int]]] = {}
+        self.letters: dict[int, Counter[str]] = {}
         self.from_anywhere = alone == "first"
         # Words of a value are tried together in as many as entries have, not in every number.
         self.sizes = sorted({n for _, name in entries if (n := sum(map(len, self._parts(name)))) > 1}, reverse=True)
@@ -62,6 +64,7 @@ class CanonTrie:
         for number, name in entries:
             parts = self._parts(name)
             joined = ["".join(p) for p in parts]
+            self.letters[number] = Counter("".join(joined))
             self._add("".join(joined), "full", number, len(joined[0]))
             if len(joined) > 1:
                 self._add("".join(joined[1:] + joined[:1]), "full", number, len("".join(joined[1:])))
@@ -95,6 +98,10 @@ class CanonTrie:
                 node.cut = min(node.cut, first)
         node.entries.setdefault(kind, number)
 
+    def _letters_apart(self, text: str, number: int) -> int:
+        a, b = Counter(text), self.letters[number]
+        return sum(((a - b) + (b - a)).values())
+
     def within(self, text: str, errors: int) -> dict[tuple[str, int], set[int]]:
         """Entries by (alias class, distance) for all paths within errors of text."""
         n = len(text)
@@ -155,17 +162,22 @@ class CanonTrie:
         hit = one(self.exact.get(w, {}).get("full", set()) for w in windows)
         if hit is not None:
             return hit
-        nearest: dict[int, set[int]] = {}
+        nearest: dict[int, dict[int, int]] = {}
         for w in windows:  # the whole value comes first; where that is near, no part of it is asked
             if nearest and w is not whole:
                 break
             for d in range(1, allowed_errors(len(w)) + 1):
                 near = [s for (kind, e), s in self.within(w, d).items() if kind == "full" and e == d]
                 if near:
-                    nearest.setdefault(d, set()).update(*near)
+                    at = nearest.setdefault(d, {})
+                    for number in set().union(*near):
+                        apart = self._letters_apart(w, number)
+                        at[number] = min(apart, at.get(number, apart))
                     break
         if nearest:
-            return one([nearest[min(nearest)]])
+            # Of entries equally many errors away those with the most letters in common come first.
+            at = nearest[min(nearest)]
+            return one([{n for n, apart in at.items() if apart == min(at.values())}])
         for step in (
             lambda w: self.cut_off(w),
             lambda w: self.exact.get(w, {}).get("bare", set()),
