@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tillweave.llm.nearest_time import match_nearest
+from tillweave.llm.nearest_time import match_nearest, micros
 
 HOUR = 3_600_000_000
 EPOCH = dt.datetime(2024, 1, 1)
@@ -41,3 +41,15 @@ def test_ties_and_empty_tables(spark):
     assert [tuple(r) for r in match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR).collect()] == [(1, 7), (1, 7)]
     assert match_nearest(a, b.limit(0), ("k",), "i", "t", "i", "t", 48 * HOUR).count() == 0
     assert match_nearest(a.limit(0), b, ("k",), "i", "t", "i", "t", 48 * HOUR).count() == 0
+
+
+def test_zone_of_the_session_does_not_matter(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Dublin")
+    try:
+        times = [dt.datetime(2024, 3, 31, 0, 59, 59, 123456), dt.datetime(2024, 3, 31, 1, 30), dt.datetime(1969, 12, 31, 23, 59, 59, 5)]
+        df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+        got = [r[0] for r in df.select(micros(df, "t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [round((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in times]

@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,16 @@ def _choose(time: np.ndarray, t1: np.ndarray, id1: np.ndarray, t2: np.ndarray, i
     return np.minimum(d1, d2) <= tolerance, np.where(second, id2, id1)
 
 
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds of a time since 1970; for a time without a zone whatever the zone of the session."""
+    t = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(t.cast("timestamp"))
+    of_day = F.hour(t) * 3600 + F.minute(t) * 60
+    seconds = (F.unix_date(t.cast("date")).cast("long") * 86_400 + of_day) * 1_000_000
+    return seconds + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
 def match_nearest(
     left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_id: str, left_time: str, right_id: str, right_time: str, tolerance_us: int, trie_rows: int = TRIE_ROWS, salt_rows: int = SALT_ROWS
 ) -> DataFrame:
@@ -100,7 +110,7 @@ def match_nearest(
     names = [f"_k{i}" for i in range(len(keys))]
 
     def slim(df: DataFrame, id_col: str, time_col: str, side: int) -> DataFrame:
-        at = F.unix_micros(F.col(time_col).cast("timestamp"))
+        at = micros(df, time_col)
         out = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(id_col).cast("long").alias("_id"), at.alias("_t"), F.lit(side).cast("byte").alias("_side"))
         return out.dropna(subset=[*names, "_id", "_t"])
 

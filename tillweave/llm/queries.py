@@ -50,7 +50,7 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = table(spark, sf_dir, "unmatched").select("ord", "account", (-F.col("amount")).cast("decimal(18,2)").alias("amount"), "booked_at")
     feed = table(spark, sf_dir, "feed_entries").select("entry_id", "account", "amount", "posted_at")
-    tidy = F.lower(F.trim("account"))
+    tidy = F.lower(F.btrim("account", F.lit(" \t\r\n\u00a0")))
     pairs = nearest_time.match_nearest(
         legs.withColumn("account", tidy), feed.withColumn("account", tidy), ("account", "amount"), "ord", "booked_at", "entry_id", "posted_at", tolerance_us=nearest_time.HOURS_48
     )
