@@ -129,3 +129,14 @@ def in_range(first: str | None, last: str | None) -> Column:
     if last:
         keep = keep & (F.col("date") <= F.lit(last).cast("date"))
     return keep
+
+
+def wall_micros(time: Column) -> Column:
+    """Microseconds since 1970 of a time without a zone, whatever the zone of the session."""
+    seconds = F.unix_date(time.cast("date")).cast("long") * 86_400 + F.hour(time) * 3600 + F.minute(time) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
+def wall_time(instant: Column) -> Column:
+    """The UTC wall clock of an instant, as a time without a zone: what wall_micros counts from."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tillweave.functions.columns import wall_time
 from tillweave.plans.ledger_views import sql
 from tillweave.plans.registry import query
 from tillweave.session import shared_dir
@@ -24,4 +25,4 @@ def stream_daily_spend(spark, sf_dir):
     run.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{out}/rows")).start().awaitTermination()
     parts = spark.read.parquet(f"{out}/rows")
     last = parts.groupBy("day", "account", "category").agg(F.max_by(F.struct("amount", "rows"), "batch").alias("_v"))
-    return last.select(F.col("day").cast("timestamp_ntz").alias("day"), "account", "category", "_v.amount", "_v.rows")
+    return last.select(wall_time(F.col("day")).alias("day"), "account", "category", "_v.amount", "_v.rows")

@@ -7,18 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from tillweave.config.rules import Rule
-from tillweave.functions.columns import TOTAL, is_spend
+from tillweave.functions.columns import TOTAL, is_spend, wall_micros
 from tillweave.operators.categorise import first_match
 from tillweave.operators.ledger import normalise
 
 
 def read_ledger_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
-    """New Parquet files under path, a bounded number for each batch; times without a zone are read as UTC."""
+    """New Parquet files under path, a bounded number for each batch; times without a zone are taken as UTC."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return rows.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))
+    if isinstance(schema["loaded_at"].dataType, TimestampNTZType):
+        rows = rows.withColumn("loaded_at", F.timestamp_micros(wall_micros(F.col("loaded_at"))))
+    return rows
 
 
 def label_stream(rows: DataFrame, rules: list[Rule]) -> DataFrame:
