@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.functions.columns import wall_micros
 from tillweave.session import written
 
 HOURS_48 = 48 * 3600 * 1_000_000
@@ -88,9 +89,7 @@ def micros(df: DataFrame, name: str) -> Column:
     t = F.col(name)
     if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
         return F.unix_micros(t.cast("timestamp"))
-    of_day = F.hour(t) * 3600 + F.minute(t) * 60
-    seconds = (F.unix_date(t.cast("date")).cast("long") * 86_400 + of_day) * 1_000_000
-    return seconds + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return wall_micros(t)
 
 
 def match_nearest(
