@@ -56,6 +56,7 @@ class CanonTrie:
         self.root = _Node()
         self.exact: dict[str, dict[str, set[int]]] = {}
         self.letters: dict[int, Counter[str]] = {}
+        self.longest = 0
         self.from_anywhere = alone == "first"
         # Words of a value are tried together in as many as entries have, not in every number.
         self.sizes = sorted({n for _, name in entries if (n := sum(map(len, self._parts(name)))) > 1}, reverse=True)
@@ -90,6 +91,7 @@ class CanonTrie:
 
     def _add(self, path: str, kind: str, number: int, first: int | None = None) -> None:
         self.exact.setdefault(path, {}).setdefault(kind, set()).add(number)
+        self.longest = max(self.longest, len(path))
         node = self.root
         for c in path:
             node = node.children.setdefault(c, _Node())
@@ -105,6 +107,8 @@ class CanonTrie:
     def within(self, text: str, errors: int) -> dict[tuple[str, int], set[int]]:
         """Entries by (alias class, distance) for all paths within errors of text."""
         n = len(text)
+        if n > self.longest + errors:
+            return {}
         masks: dict[str, int] = {}
         for i, c in enumerate(text):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -162,12 +166,19 @@ class CanonTrie:
         hit = one(self.exact.get(w, {}).get("full", set()) for w in windows)
         if hit is not None:
             return hit
+        met: dict[tuple[str, int], dict[tuple[str, int], set[int]]] = {}
+
+        def within(w: str, d: int) -> dict[tuple[str, int], set[int]]:
+            if (w, d) not in met:
+                met[w, d] = self.within(w, d)
+            return met[w, d]
+
         nearest: dict[int, dict[int, int]] = {}
         for w in windows:  # the whole value comes first; where that is near, no part of it is asked
             if nearest and w is not whole:
                 break
             for d in range(1, allowed_errors(len(w)) + 1):
-                near = [s for (kind, e), s in self.within(w, d).items() if kind == "full" and e == d]
+                near = [s for (kind, e), s in within(w, d).items() if kind == "full" and e == d]
                 if near:
                     at = nearest.setdefault(d, {})
                     for number in set().union(*near):
@@ -190,7 +201,7 @@ class CanonTrie:
         if hit is not None:
             return hit
         for d in range(1, allowed_errors(len(whole)) + 1):
-            hit = one(s for (kind, e), s in self.within(whole, d).items() if kind == "alone" and e == d)
+            hit = one(s for (kind, e), s in within(whole, d).items() if kind == "alone" and e == d)
             if hit is not None:
                 return hit
         return 0
