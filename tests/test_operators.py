@@ -2,12 +2,13 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from tillweave.config.rules import Rule
+from tillweave.config.rules import Rule, required_literal
 from tillweave.operators import categorise, flows, integrity, netting, reports
 from tillweave.operators.dyadic import periods_and_gaps
 
@@ -130,6 +131,28 @@ def test_first_match_wins_and_patterns_are_literal(spark):
     assert {r.category for r in categorise.categorise(df, []).collect()} == {""}
 
 
+def test_rules_of_a_table_are_applied_in_order_whatever_their_kind(spark):
+    """Against each rule tried on each row in turn; patterns with a long, a short and no certain text."""
+    patterns = [r"^ACME FUELS\s+(?P<place>[A-Z ]+)$", r"SHOP\s\d{4}", r"(?i)\bcinema\b", r"^X\d+$", r"\d{3}[A-Z]{2}", r"(?:TAXI|TRAM)", r"(?:PUB )+Q?", r"CAFE?", r"^$"]
+    rules = [Rule("regex", p, "C", a) for p in patterns for a in ("any", "y")] + [Rule("contains", "ACME", "C"), Rule("exact", "SHOP 1234", "C"), Rule("prefix", "X", "C", "x"), Rule("contains", "", "C")]
+    random.Random(5).shuffle(rules)
+    rows = [(i, d, a) for i, (d, a) in enumerate((d, a) for d in ["ACME FUELS CORK", "ACME FUELS 7", "SHOP 1234", "MY SHOP 12345", "THE Cinema X", "X12", "X", "AT 123IE", "TAXI", "A TRAM", "PUB PUB ", "CAF", "CAFE", "CA", "", None] for a in ("x", "y"))]
+    kinds = {"exact": lambda r, d: d == r.pattern, "contains": lambda r, d: r.pattern in d, "prefix": lambda r, d: d.startswith(r.pattern), "regex": lambda r, d: re.search(r.pattern, d)}
+    want = {}
+    for i, d, a in rows:
+        fits = [k for k, r in enumerate(rules) if r.pattern and r.account in ("any", a) and kinds[r.match](r, d or "")]
+        if fits:
+            want[i] = fits[0]
+    table = spark.createDataFrame([(k, k, r.match, r.pattern, r.account) for k, r in enumerate(rules)], "rule_id long, idx int, match string, pattern string, account string")
+    got = categorise.categorise_by_table(spark.createDataFrame(rows, "ord long, description string, account string"), table)
+    assert {r.ord: r.rule_id for r in got.collect()} == want
+
+
+def test_required_literal():
+    certain = {r"^ACME FUELS\s+(?P<place>[A-Z ]+)$": "ACME FUELS", r"(?i)cinema": "", r"(?i:cin)ema": "ema", r"CAFE?": "CAF", r"AB|CD": "", r"(?:PUB )+Q?": "PUB ", r"(?:PUB )*Q": "Q", r"A(?!BCD)": "A", r"(?x) A B": "AB"}
+    assert {p: required_literal(p) for p in certain} == certain
+
+
 ROW = "ord long, date date, description string, amount decimal(18,2), account string, category string, subcategory string, is_transfer boolean, currency string"
 
 

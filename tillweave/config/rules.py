@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from pathlib import Path
+from re import _parser
 from typing import Any
 
 import yaml
@@ -65,6 +66,28 @@ def java_pattern(pattern: str) -> str:
     return "(?dU)" + plain
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that whatever the pattern fits must hold as it stands; blank if none is certain."""
+    tree = _parser.parse(pattern)
+    runs = [""]
+
+    def walk(items: _parser.SubPattern) -> None:
+        for op, value in items:
+            if op is _parser.LITERAL:
+                runs[-1] += chr(value)
+                continue
+            runs.append("")
+            if op is _parser.SUBPATTERN and not value[1] & re.IGNORECASE:
+                walk(value[3])
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0]:
+                walk(value[2])
+            runs.append("")
+
+    if not tree.state.flags & re.IGNORECASE:
+        walk(tree)
+    return max(runs, key=len)
+
+
 def parse_rule(raw: Any, position: int, source: str) -> Rule:
     where = f"{source}: rule[{position}]"
     values = check_mapping(raw, SPEC, where, RuleError)

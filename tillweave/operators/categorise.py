@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillweave.config.rules import ANY_ACCOUNT, Rule
+from tillweave.config.rules import ANY_ACCOUNT, KINDS, Rule, java_pattern, required_literal
+from tillweave.session import broadcast_if_small, written
 
 #: Rules in one expression. Longer chains are cut into several, so generated methods stay compilable.
 CHUNK = 100
@@ -68,28 +71,47 @@ def categorise(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return plain.join(labelled, F.col("description").eqNullSafe(F.col("_d")) & F.col("account").eqNullSafe(F.col("_a")), "left").drop("_d", "_a")
 
 
+def _met_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rules with the text that each row they fit must hold (blank if none is certain) and, for regex, Java's pattern."""
+    for batch in batches:
+        rules = list(zip(*(batch.column(n).to_pylist() for n in ("match", "pattern"))))
+        literal = [required_literal(p) if m == "regex" else p for m, p in rules]
+        java = [java_pattern(p) if m == "regex" else None for m, p in rules]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(literal, pa.string()), pa.array(java, pa.string())], names=[*batch.schema.names, "_literal", "_java"])
+
+
 def categorise_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(ord, rule_id) of the first rule (least idx, then rule_id) that fits each row, for rule sets kept in a table.
 
     Exact rules join by hash on the description; contains and prefix rules join on the letters they begin
-    with, so no row is tried against every rule. Regex rules need an expression and are left to categorise().
+    with, regex rules on those of the longest text they must hold, so no row is tried against every rule.
+    Only regex rules that need no certain text are tried on every distinct (description, account).
     """
     text = F.coalesce(F.col("description"), F.lit(""))
     keys = rows.select(text.alias("description"), "account").distinct()
-    usable = rules.filter(F.col("pattern").isNotNull() & (F.col("pattern") != "") & F.col("match").isin("exact", "contains", "prefix")).select("rule_id", "idx", "match", "pattern", F.col("account").alias("_scope"))
+    usable = rules.filter(F.col("pattern").isNotNull() & (F.col("pattern") != "") & F.col("match").isin(*KINDS)).select("rule_id", "idx", "match", "pattern", F.col("account").alias("_scope"))
     fits_account = (F.col("_scope") == ANY_ACCOUNT) | (F.col("_scope") == F.col("account"))
-    exact = keys.join(usable.filter("match = 'exact'"), (F.col("description") == F.col("pattern")) & fits_account)
+    # Written, so that its size is known and no branch is planned for kinds of rules that it lacks.
+    schema = ", ".join(f"{n} {kind}" for n, kind in usable.dtypes) + ", _literal string, _java string"
+    table = written(usable.mapInArrow(_met_by, schema), "rules")
+    exact = keys.join(broadcast_if_small(table.filter("match = 'exact'")), (F.col("description") == F.col("pattern")) & fits_account)
     # A text that holds a pattern holds its first letters: rules are met by those, not one by one.
-    inner = usable.filter("match <> 'exact'").withColumn("_gram", F.substring("pattern", 1, GRAM))
+    inner = table.filter("match <> 'exact'").withColumn("_gram", F.substring("_literal", 1, GRAM))
     places = F.sequence(F.lit(1), F.greatest(F.length("description"), F.lit(1)))
     pieces = F.transform(places, lambda i: F.substring(F.col("description"), i, F.lit(GRAM)))
     grams = keys.withColumn("_gram", F.explode(F.array_distinct(pieces)))
     shorter = keys.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda n: F.substring(F.col("description"), i, n)))))))
-    fits_text = F.when(F.col("match") == "prefix", F.startswith("description", "pattern")).otherwise(F.contains("description", "pattern"))
-    held = grams.join(inner.filter(F.length("pattern") >= GRAM), "_gram").filter(fits_account & fits_text)
-    brief = shorter.join(inner.filter(F.length("pattern") < GRAM), "_gram").filter(fits_account & fits_text)
+    holds = F.contains("description", "_literal")
+    fits_text = F.when(F.col("match") == "prefix", F.startswith("description", "pattern")).when(F.col("match") == "regex", holds & F.rlike("description", "_java")).otherwise(holds)
+    size = F.length("_literal")
+    long, short, open_ = inner.filter(size >= GRAM), inner.filter((size > 0) & (size < GRAM)), inner.filter(size == 0)
+    branches = [exact, grams.join(broadcast_if_small(long), "_gram").filter(fits_account & fits_text)]
+    if not short.isEmpty():
+        branches.append(shorter.join(broadcast_if_small(short), "_gram").filter(fits_account & fits_text))
+    if not open_.isEmpty():
+        branches.append(keys.join(broadcast_if_small(open_), fits_account & fits_text))
     columns = ["description", "account", "idx", "rule_id"]
-    found = reduce(DataFrame.unionByName, (f.select(columns) for f in (exact, held, brief)))
+    found = reduce(DataFrame.unionByName, (f.select(columns) for f in branches))
     first = found.groupBy("description", "account").agg(F.min(F.struct("idx", "rule_id")).alias("_first"))
     return rows.withColumn("description", text).join(first, ["description", "account"]).select("ord", F.col("_first.rule_id").alias("rule_id"))
 
