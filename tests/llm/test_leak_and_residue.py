@@ -73,6 +73,19 @@ def test_residue_of_a_cell(body, kinds):
     assert R.cell_kinds(body, True) == kinds
 
 
+@pytest.mark.parametrize("kind, bodies", [
+    ("error_page", ["400 Bad Request", "500 Server Error", "HTTP 503", "Error 500", "410 Gone", "401 <b>Unauthorized</b>", '{"message": "Bad Request"}', '{"detail": "503 upstream"}', "Internal\nServer  Error"]),
+    ("placeholder", [
+        "{{ owner }}", "@@OWNER@@", "${owner}", "#{owner}", "{% block title %}", "<%= owner %>", "[[owner]]", "[Insert team]", "[Enter project name]", "[Add summary]", "[Your name here]", "# <PROJECT NAME>", "&lt;project name&gt;", "__OWNER__", "%OWNER%", "YOUR_NAME_HERE", "Hi {Name1}", "Dear {Name1}",
+        "{1} of {2}", "write your summary here", "put your name here", "add your name here", "(edit me)", "Replace this text with prose", "To be filled in: ____", "<title goes here>", "Click to edit",
+    ]),
+    ("filler", ["Lorem dolor sit elit sed"]),
+])
+def test_each_accepted_shape_alone_in_a_cell_is_found(kind, bodies):
+    assert [b for b in bodies if kind not in R.cell_kinds(b, True)] == []
+    assert kind != "placeholder" or all(any(p.search(b) for b in bodies) for p in R.PLACEHOLDER_SHAPES)
+
+
 def test_residue_rows(spark):
     notice, schema = "Please enable JavaScript to view this notebook.", "doc_id long, text string, cells array<struct<cell_type:string,execution_count:int,char_start:int,char_end:int>>, kind int"
     rows = [

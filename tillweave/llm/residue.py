@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-One multi-pattern automaton holds all phrases, in many languages, and the marks of template fields. Only
-cells with a hit are looked at closer, paragraph by paragraph: a paragraph is residue if the phrases of a
-kind cover most of its letters, so prose that merely mentions such a phrase is not.
+One multi-pattern automaton holds all phrases, in many languages, another the marks of template fields. Cells
+are read paragraph by paragraph: a paragraph is residue if the phrases of a kind cover most of its letters, so
+prose that merely mentions such a phrase is not. Coverage is counted only where a phrase was met.
 """
 
 from __future__ import annotations
@@ -60,11 +60,14 @@ FILLER_PHRASES = (
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum rerum modi porro quae ipsa ipsam quisquam ullam aliquam odit error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo aspernatur aut fugit consequuntur magni dolores eos ratione sequi nesciunt neque dolorem adipisci numquam eius tempora incidunt quam quaerat".split()
 )
+#: Filler has one of these words at least.
+FILLER_SIGNS = ("lorem", "ipsum", "amet", "nostrud", "fugiat", "quisquam", "aliqua")
 
-#: Instructions to the author and unfilled fields.
-PLACEHOLDER_PHRASES = (
-    "edit me", "replace this line with", "replace this text with", "to be filled in", "sentence about the", "goes here>", "[insert", "[your", "_here", "write your", "add your", "describe your", "click to edit", "double-click to edit", "@@", "{{", "${", "#{", "{%", "<%", "[[", "&lt;", "__", "%\n", "{0}", "dear {", "hello {", "todo: write", "[name]", "[title]", "[author]", "[date]",
+#: Marks of instructions to the author and of unfilled fields. Each of PLACEHOLDER_SHAPES holds one, or fits _MARK_SHAPES.
+PLACEHOLDER_MARKS = (
+    "{{", "@@", "${", "#{", "{%", "<%", "[[", "[insert", "[enter", "[add", "[your", "&lt;", "__", "_here", "write your", "add your", "describe your", "put your", "(edit me)", "replace this ", "to be filled in", "goes here>", "click to edit",
 )
+_MARK_SHAPES = re.compile(r"%[A-Z_]{3,}%|<[A-Z][A-Z _]+>|\{\w+\}")
 
 _FIELD = r"[A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,3}"
 PLACEHOLDER_SHAPES = [
@@ -121,16 +124,25 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-@lru_cache(maxsize=1)
-def triggers() -> ahocorasick.Automaton:
-    """The phrases and marks that make a cell worth a closer look."""
+def _any_of(phrases: set[str]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for phrase in {*ERROR_PHRASES, *SCRIPT_PHRASES, *FILLER_PHRASES, *PLACEHOLDER_PHRASES, "ipsum", "amet", "nostrud", "fugiat", "quisquam", "aliqua"} - WEAK_ERROR_PHRASES - WEAK_SCRIPT_PHRASES | {"not found", "forbidden", "<noscript"}:
+    for phrase in phrases:
         out.add_word(phrase, phrase)
     out.make_automaton()
     return out
 
 
+@lru_cache(maxsize=1)
+def strong_phrases() -> ahocorasick.Automaton:
+    """The phrases without one of which _covered() is 0 for every kind."""
+    return _any_of({p for kinds, p in (({heavy for _, heavy in v[1]}, k) for k, v in automaton().items()) if True in kinds})
+
+
+@lru_cache(maxsize=1)
+def placeholder_marks() -> ahocorasick.Automaton:
+    return _any_of(set(PLACEHOLDER_MARKS))
+
+
 def _boundary(text: str, start: int, stop: int) -> bool:
     def joined(a: str, b: str) -> bool:
         return a.isalnum() and b.isalnum() and a < "⺀" and b < "⺀"
@@ -157,51 +169,55 @@ def _covered(text: str) -> dict[str, float]:
     return {k: float((mark & letters).sum()) / total if total and k in strong else 0.0 for k, mark in marks.items()}
 
 
-def _is_filler(words: list[str], markdown: bool) -> bool:
+def _is_filler(words: list[str], repeats: bool) -> bool:
     n = len(words)
     if n < 5:
         return False
-    if sum(w in LATIN_FILLER for w in words) >= 0.7 * n and len(set(words) & LATIN_FILLER) > 3 and any(w in ("lorem", "ipsum", "amet", "nostrud", "fugiat", "quisquam", "aliqua") for w in words):
+    if sum(w in LATIN_FILLER for w in words) >= 0.7 * n and len(set(words) & LATIN_FILLER) > 3 and any(w in FILLER_SIGNS for w in words):
         return True
-    return markdown and n >= 6 and len(set(words)) * 3 <= n and all(w.isalpha() for w in words)
+    return repeats and n >= 6 and len(set(words)) * 3 <= n and all(w.isalpha() for w in words)
 
 
 _JSON_ERROR = re.compile(r"^\s*\{[^{}]*\"(?:message|error|detail|reason|title)\"\s*:\s*\"(?:not found|forbidden|unauthorized|access denied|bad gateway|bad request|service unavailable|internal server error|too many requests|gateway time-?out|request timeout|[45]\d\d[^\"]*)\"[^{}]*\}\s*$", re.I)
-_BARE_STATUS = re.compile(r"^\W*(?:http\s*)?(?:error\s*)?[45]\d\d\W*(?:not found|forbidden|unauthorized|bad request|error|server error|gone)?\W*$")
+_BARE_STATUS = re.compile(r"^\W*(?:http\s*)?(?:error\s*)?[45]\d\d\W*(?:(?:not found|forbidden|unauthorized|bad request|error|server error|gone)\W*)?$")
+
 
+def paragraph_kinds(paragraph: str, repeats: bool) -> set[str]:
+    """The kinds of residue that one paragraph is. The dear checks run only where they could accept.
 
-def paragraph_kinds(paragraph: str, markdown: bool) -> set[str]:
-    """The kinds of residue that one paragraph is."""
+    repeats: whether few words that come again and again are filler.
+    """
     kinds = set()
-    if any(p.search(_MATH_OR_CODE.sub(" ", paragraph)) for p in PLACEHOLDER_SHAPES):
+    prose = _MATH_OR_CODE.sub(" ", paragraph)
+    if (next(placeholder_marks().iter(prose.lower()), None) or _MARK_SHAPES.search(prose)) and any(p.search(prose) for p in PLACEHOLDER_SHAPES):
         kinds.add(PLACEHOLDER)
-    if _TRACE.search(paragraph):
-        return kinds
     text = _tidy(html.unescape(_TAGS.sub(" ", paragraph)))
-    share = _covered(text)
-    for kind, part in share.items():
-        if part >= (0.7 if kind == FILLER else COVERAGE):
-            kinds.add(kind)
+    residue = set()
+    if next(strong_phrases().iter(text), None):
+        residue |= {kind for kind, part in _covered(text).items() if part >= (0.7 if kind == FILLER else COVERAGE)}
     if _BARE_STATUS.match(text) and re.search(r"[a-z]", text):
-        kinds.add(ERROR_PAGE)
+        residue.add(ERROR_PAGE)
     if _JSON_ERROR.match(paragraph):
-        kinds.add(ERROR_PAGE)
+        residue.add(ERROR_PAGE)
     if "<noscript" in paragraph.lower():
-        kinds.add(SCRIPT_NOTICE)
-    if _is_filler(_WORDS.findall(text), markdown):
-        kinds.add(FILLER)
-    return kinds
+        residue.add(SCRIPT_NOTICE)
+    if (repeats or any(w in text for w in FILLER_SIGNS)) and _is_filler(_WORDS.findall(text), repeats):
+        residue.add(FILLER)
+    return kinds | residue if residue and not _TRACE.search(paragraph) else kinds
 
 
 def cell_kinds(body: str, markdown: bool) -> set[str]:
-    """The kinds of residue in a markdown or output cell."""
+    """The kinds of residue in a markdown or output cell.
+
+    Few words again and again are filler only where one comes three times running or the cell holds a phrase
+    or mark: prose may say one sentence of each column.
+    """
     lower = body.lower().replace("’", "'")
-    if next(triggers().iter(lower), None) is None and not (markdown and _REPEATED.search(body)) and not re.search(r"%[A-Z_]{3,}%|<[A-Z][A-Z _]+>|\{[a-z_]+\}", body):
-        return set()
+    repeats = markdown and bool(_REPEATED.search(body) or next(strong_phrases().iter(lower), None) or next(placeholder_marks().iter(lower), None) or any(w in lower for w in FILLER_SIGNS) or _MARK_SHAPES.search(body))
     kinds: set[str] = set()
     for paragraph in _PARAGRAPHS.split(body.replace("\r\n", "\n").replace("\r", "\n")):
         if paragraph.strip():
-            kinds |= paragraph_kinds(paragraph, markdown)
+            kinds |= paragraph_kinds(paragraph, repeats)
     return kinds
 
 
