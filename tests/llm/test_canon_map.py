@@ -58,3 +58,9 @@ def test_rows(spark):
     assert {r.canon_id for r in map_values(df, canon.limit(0), "category", "category", "row_id", "last").collect()} == {0}
     with pytest.raises(ValueError):
         map_values(df, canon, "category", "category", "row_id", "last", max_entries=2)
+
+
+def test_a_split_or_joined_name_with_additions_is_found():
+    trie = CanonTrie([(1, "Stagraflios Fuels"), (2, "Brosek Hardware")], "first")
+    typed = {"Stagra flios Fuels 4412": 1, "StagrafliosFuels 4412": 1, "card StagrafliosFuels 4412 IE": 1, "Sta gra flios Fuels ref 4412": 1, "POS Bro sek Hard ware 77": 2, "S t a g r a f l i o s Fuels 4412": 1, "card 4412 IE": 0}
+    assert {v: trie.find(v) for v in typed} == typed

@@ -58,8 +58,6 @@ class CanonTrie:
         self.letters: dict[int, Counter[str]] = {}
         self.longest = 0
         self.from_anywhere = alone == "first"
-        # Words of a value are tried together in as many as entries have, not in every number.
-        self.sizes = sorted({n for _, name in entries if (n := sum(map(len, self._parts(name)))) > 1}, reverse=True)
         paths: list[tuple[str, str, int]] = []
         singles: dict[str, set[int]] = {}
         for number, name in entries:
@@ -155,8 +153,16 @@ class CanonTrie:
             return 0
         whole = "".join(words)
         windows = [whole]
-        for size in self.sizes:
-            windows += ["".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+        # A name may be typed run together or with blanks inside its words: only the letters end a window.
+        parts: list[tuple[int, str]] = []
+        for i in range(len(words)):
+            part = ""
+            for size, word in enumerate(words[i:], 1):
+                part += word
+                if len(part) > self.longest + allowed_errors(len(part)):
+                    break
+                parts.append((size, part))
+        windows += [part for _, part in sorted(parts, key=lambda p: -p[0])]
         windows = list(dict.fromkeys(windows))
 
         def one(candidates: Iterator[set[int]]) -> int | None:
