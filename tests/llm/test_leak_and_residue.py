@@ -47,6 +47,14 @@ def test_paraphrases_keep_order_and_key_words(spark):
     assert [(r.item_id, r.doc_id) for r in got.collect()] == [(5, 1)]
 
 
+def test_a_short_text_that_rewords_a_passage_is_found(spark):
+    item = "seven copper lanterns hung over the quiet harbour while Maro counted 58 ropes and Tilda mended 31 sails before the storm reached the northern pier at dusk on Friday evening with heavy rain and wind from the bay"
+    part = item.split(" before")[0].replace("quiet", "calm").replace("mended", "repaired")
+    docs = spark.createDataFrame([(1, item.replace("quiet", "calm")), (2, part), (3, None), (4, ""), (5, "other words here"), (6, " ".join(reversed(item.split())))], "doc_id long, text string")
+    got = L.find_paraphrases(docs, spark.createDataFrame([(5, item)], "item_id int, passage string"))
+    assert sorted((r.item_id, r.doc_id) for r in got.collect()) == [(5, 1), (5, 2)]
+
+
 @pytest.mark.parametrize(
     "body, kinds",
     [

@@ -216,7 +216,7 @@ def find_paraphrases(
 ) -> DataFrame:
     """(item_id, doc_id, common): documents with a stretch that tells an item's passage, perhaps reworded.
 
-    Stretches of span words that the items know, half overlapping, are compared with all passages by cosine
+    Stretches of span words that the items know, half overlapping (a shorter text is one stretch), are compared with all passages by cosine
     in the latent space; of the near ones, at least min_common of the stretch must be a common subsequence
     with the passage, and at least min_answers of the stretch's numbers and rare words (idf above the
     median) must occur in it. common is the best such share, rounded to 4 digits. Nulls, empty tables,
@@ -242,15 +242,17 @@ def find_paraphrases(
             rows, found, shares = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.fromiter((own.vocabulary.get(w, -1) for w in words_of(text)), np.int64)
-                if len(ids) < span:
+                if not len(ids):
                     continue
+                wide = min(span, len(ids))  # a text shorter than span is one stretch
+                half = max(1, wide // 2)
                 known = np.flatnonzero(ids >= 0)
-                dense = known[: len(known) - span // 2 + 1][known[span // 2 - 1 :] - known[: len(known) - span // 2 + 1] < span] if len(known) >= span // 2 else known[:0]
+                dense = known[: len(known) - half + 1][known[half - 1 :] - known[: len(known) - half + 1] < wide] if len(known) >= half else known[:0]
                 best: dict[int, float] = {}
-                for a in np.unique(dense // (span // 2)).tolist():
-                    part = ids[a * (span // 2) : a * (span // 2) + span]
+                for a in np.unique(dense // half).tolist() if len(ids) >= span else [0]:
+                    part = ids[a * half : a * half + wide]
                     part = part[part >= 0]
-                    if len(part) < span // 2:
+                    if len(part) < half:
                         continue
                     near = np.flatnonzero(whole @ unit(own.words[part].sum(0)) >= min_cosine)
                     key = part[rare[part]]
