@@ -106,11 +106,15 @@ def path_tail(path: Column) -> Column:
 
 
 def bracket_to_path(value: Column) -> Column:
-    """`Parent (Child)` as `Parent/Child`; other values trimmed."""
+    """`Parent (Child)` as `Parent/Child`; other values trimmed.
+
+    The child is what stands between the first bracket that opens and the one that ends the value.
+    """
     tidy = F.trim(value)
-    parent = F.trim(F.regexp_extract(tidy, r"^(.*?)\s*\((.+)\)\s*$", 1))
-    child = F.trim(F.regexp_extract(tidy, r"^(.*?)\s*\((.+)\)\s*$", 2))
-    return F.when(tidy.rlike(r"^(.*?)\s*\((.+)\)\s*$"), F.concat(parent, F.lit("/"), child)).otherwise(tidy)
+    opens, size = F.instr(tidy, "("), F.length(tidy)
+    child = F.substring(tidy, opens + 1, size - opens - 1)
+    nested = (opens > 0) & F.endswith(tidy, F.lit(")")) & (size - opens > 1)
+    return F.when(nested, F.concat(F.trim(F.substring(tidy, F.lit(1), opens - 1)), F.lit("/"), F.trim(child))).otherwise(tidy)
 
 
 def is_spend() -> Column:
