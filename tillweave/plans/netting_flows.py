@@ -42,9 +42,9 @@ def transfer_pairs(spark, sf_dir):
     return N.transfer_pairs(led(spark, sf_dir))
 
 
-@query("transfer_pairs_by_rounds", net_sql("select delta, i, j from pairs"))
-def transfer_pairs_by_rounds(spark, sf_dir):
-    return N.transfer_pairs(led(spark, sf_dir), fold_limit=0)
+@query("transfer_pairs_next_day", net_sql("select delta, i, j from pairs").replace("a.date, b.date)) <= 3", "a.date, b.date)) <= 1"))
+def transfer_pairs_next_day(spark, sf_dir):
+    return N.transfer_pairs(led(spark, sf_dir), 1)
 
 
 @query("netted_ledger", net_sql("select ord, account, amount, is_transfer, pair_id from net"))
