@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillweave.llm import byte_bpe, canon_map, fold_hash, leak_search, nearest_time, record_linkage, residue
-from tillweave.session import table
+from tillweave.session import table, written
 
 P3_SQL = """
 with f as (select entry_id, lower(trim(account)) account, amount, posted_at from feed_entries),
@@ -67,9 +68,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linked(spark, sf_dir)[1]
 
 
+def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p4_found, by feeding the batches one after another into one index."""
+    index = record_linkage.LinkageIndex(spark)
+    index.accept(record_linkage.records(table(spark, sf_dir, "ledger"), "ord"))
+    incoming = table(spark, sf_dir, "incoming")
+    links = []
+    # The batches of a delivery are a handful; each is linked, then accepted, before the next one is looked at.
+    for (number,) in sorted(tuple(r) for r in incoming.select("batch_id").dropna().distinct().collect()):
+        batch = record_linkage.records(incoming.filter(incoming["batch_id"] == number), "in_id")
+        links.append(written(index.link(batch), "links"))
+        index.accept(batch)
+    return reduce(DataFrame.unionByName, links) if links else spark.createDataFrame([], "kept_id long, in_id long")
+
+
 def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, links = _linked(spark, sf_dir)
-    return index.update_clusters(links)
+    index.update_clusters(index.edges(links))
+    return index.representatives()
 
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +128,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p4_batches": p4_batches, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
