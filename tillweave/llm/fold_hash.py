@@ -26,6 +26,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WRAP = 1 << 64
 #: Characters hashed at once; a longer text is a run of its own.
 RUN_BYTES = 8 << 20
+#: Longs of the bitmap of groups that is broadcast, whatever the data: 16 bytes each in the joined table.
+BITMAP_WORDS = 1 << 18
 
 
 def _folded(c: str) -> int:
@@ -158,6 +160,7 @@ def canonical(text: str | None) -> str:
 
 
 def _hashed(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with _h1 and _h2, the hashes of text_col."""
     schema = T.StructType([*rows.schema.fields, T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
     at = rows.columns.index(text_col)
 
@@ -176,27 +179,44 @@ def _hashed(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def with_listed_marks(rows: DataFrame, marks: DataFrame, words: int = BITMAP_WORDS) -> DataFrame:
+    """The rows whose _a may be among those of marks: a bitmap of fixed size, broadcast, lets few others pass.
+
+    The bitmap is a table of at most `words` longs, put together with partial aggregates; where marks are so many
+    that it fills up it only lets more through. Rows that pass wrongly go in the join that follows.
+    """
+    spot = F.pmod(F.col("_a"), words)
+    bit = F.shiftright(F.col("_a"), 58).bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bitmap = marks.groupBy(spot.alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    met = rows.withColumn("_word", spot).join(F.broadcast(bitmap), "_word")
+    return met.filter(F.col("_bits").bitwiseAND(one) != 0).drop("_word", "_bits")
+
+
 def collapse(rows: DataFrame, id_col: str = "ord", text_col: str = "description", keys: tuple[str, ...] = ("account", "amount", "date")) -> DataFrame:
     """(first, copy) ids: each row that repeats another one, with the smallest id of its group.
 
     Rows form a group if they agree in keys (null equals null) and have the same words equally often. A
     null, empty or wordless text has no words; such texts are equal. Ids should be unique; rows that repeat
     an id wholly count as one. Extra columns are ignored, an empty table gives no rows, texts are read whole
-    at any length. Groups are counted with partial aggregates, one struct each, and joined back, so a group
-    that holds a third of all rows is never gathered in a task; AQE splits its partition in the join.
+    at any length.
+
+    Texts are hashed once. What is grouped is two longs for each row, with partial aggregates, so a group that
+    holds a third of all rows is never gathered in a task. Only rows of groups of several are moved with their
+    texts, after a bitmap of those groups; AQE splits the partitions of hot groups in the two joins.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     slim = rows.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *(F.col(k).alias(n) for k, n in zip(keys, names)))
-    hashed = _hashed(slim, "_text")
-    mark = [F.xxhash64("_h1", *names).alias("_a"), F.xxhash64(F.lit(1), "_h2", *reversed(names)).alias("_b")]
-    keyed = hashed.select("_id", "_text", *names, *mark)
-    first = F.min(F.struct("_id", "_text", *names)).alias("_first")
-    groups = keyed.groupBy("_a", "_b").agg(first, F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    members = keyed.join(groups, ["_a", "_b"]).filter(F.col("_id") != F.col("_first._id"))
+    hashed = _hashed(slim, "_text").withColumn("_a", F.xxhash64("_h1", "_h2", *names)).drop("_h1", "_h2")
+    keyed = written(hashed, "hashed")
+    groups = keyed.groupBy("_a").agg(F.min("_id").alias("_to"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    groups = written(groups, "groups")
+    several = written(with_listed_marks(keyed, groups).join(groups, "_a"), "copies")
+    firsts = several.filter("_id = _to").select("_a", F.col("_text").alias("_other"), *(F.col(n).alias(f"_first{n}") for n in names)).distinct()
     same_keys = F.lit(True)
     for n in names:
-        same_keys = same_keys & F.col(n).eqNullSafe(F.col(f"_first.{n}"))
-    pairs = members.select("_id", "_text", *names, F.col("_first._id").alias("_to"), F.col("_first._text").alias("_other"), same_keys.alias("_same"))
+        same_keys = same_keys & F.col(n).eqNullSafe(F.col(f"_first{n}"))
+    pairs = several.filter("_id <> _to").join(firsts, "_a").select("_id", "_text", *names, "_to", "_other", same_keys.alias("_same"))
     schema = T.StructType(
         [
             T.StructField("_to", pairs.schema["_to"].dataType),
@@ -231,9 +251,9 @@ def collapse(rows: DataFrame, id_col: str = "ord", text_col: str = "description"
 def with_copies(rows: DataFrame, collapsed: DataFrame, id_col: str = "ord") -> DataFrame:
     """One record for each group, with copies, the number of rows it stands for.
 
-    collapsed: what collapse() gave for rows.
+    collapsed: what collapse() gave for rows. One join: the heads of groups with their number, the rest with 0.
     """
-    counts = collapsed.groupBy(F.col("_to").alias("_head")).agg((F.count("*") + 1).alias("copies"))
-    gone = collapsed.select(F.col("_id").alias("_gone"))
-    left = rows.join(gone, rows[id_col] == F.col("_gone"), "left_anti")
-    return left.join(counts, left[id_col] == F.col("_head"), "left").drop("_head").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    heads = collapsed.groupBy(F.col("_to").alias("_at")).agg((F.count("*") + 1).alias("copies"))
+    marks = heads.unionByName(collapsed.select(F.col("_id").alias("_at"), F.lit(0).cast("long").alias("copies")))
+    counted = rows.join(marks, rows[id_col] == F.col("_at"), "left").drop("_at").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    return counted.filter("copies > 0")
