@@ -36,8 +36,8 @@ f as (select distinct item_id, doc_id from ig join dg using (g))
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     canon = table(spark, sf_dir, "canon")
-    rules = canon_map.map_values(table(spark, sf_dir, "rules"), canon, "category", "category", "rule_id", alone="last")
-    book = canon_map.map_values(table(spark, sf_dir, "cashbook"), canon, "payee", "description", "entry_no", alone="first")
+    rules = canon_map.map_values(table(spark, sf_dir, "rules"), canon, "category", "category", "rule_id", canon_map.Spelling(alone="last"))
+    book = canon_map.map_values(table(spark, sf_dir, "cashbook"), canon, "payee", "description", "entry_no", canon_map.Spelling(alone="first"))
     return rules.select(F.lit("rules").alias("src"), "row_id", "canon_id").unionByName(book.select(F.lit("cashbook").alias("src"), "row_id", "canon_id"))
 
 
