@@ -4,7 +4,10 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from tests.llm import residue_examples as X
 from tillweave.llm import leak_search as L
 from tillweave.llm import residue as R
 
@@ -91,7 +94,36 @@ def test_residue_of_a_cell(body, kinds):
 ])
 def test_each_accepted_shape_alone_in_a_cell_is_found(kind, bodies):
     assert [b for b in bodies if kind not in R.cell_kinds(b, True)] == []
-    assert kind != "placeholder" or all(any(p.search(b) for b in bodies) for p in R.PLACEHOLDER_SHAPES)
+
+
+def recall(examples):
+    flat = [(kind, t) for kind, by in examples.items() for texts in by.values() for t in texts]
+    return sum(kind in R.cell_kinds(t, True) for kind, t in flat) / len(flat)
+
+
+def test_recall_on_residue_in_twenty_languages():
+    assert recall(X.DEVELOPED) >= 0.97
+    assert recall(X.HELD_OUT) >= 0.9
+    assert [t for t in X.PROSE if R.cell_kinds(t, True)] == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["error", "HTTP", "502", "not", "found", "{{owner}}", "[Insert", "name]", "lorem", "ipsum", "dolor", "blah", "page", "JavaScript", "enable", "\n", "\n\n", "<b>", "&amp;", "%OWNER%", "__NAME__", "{a}", "crane", "is", "write your", "here", "页面", "不存在"]), max_size=12))
+def test_what_no_automaton_meets_is_no_residue(parts):
+    """The trigger automata are the only way into the checks, and hold whatever a check accepts."""
+    text = " ".join(parts)
+    kinds = R.cell_kinds(text, False)
+    met = {c for _, (_, checks) in R.triggers().iter(R._tidy(text)) for c in checks}
+    field = next(R.field_marks().iter(text), None)
+    assert not kinds & {"error_page", "script_notice"} or "message" in met
+    assert "filler" not in kinds or "filler" in met
+    assert "placeholder" not in kinds or field or "instruction" in met
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>{}[]%_@$#&;AbZ1 \n\t\u2028é页", max_size=60), st.booleans())
+def test_any_cell_has_a_result(text, markdown):
+    assert R.cell_kinds(text, markdown) <= {"placeholder", "filler", "error_page", "script_notice"}
 
 
 def test_residue_rows(spark):
@@ -109,4 +141,7 @@ def test_residue_rows(spark):
     got = R.find_residue(df)
     assert sorted((r.doc_id, r.kind) for r in got.collect()) == [(i, "script_notice") for i in (1, 1, 3, 6)]
     assert sorted(r.doc_id for r in R.without_residue(df, got).collect()) == [2, 4, 5]
+    shares = {r.doc_id: r.share for r in got.collect()}
+    assert shares[1] == shares[6] == 1.0 and 0.5 < shares[3] < 1
+    assert sorted(r.doc_id for r in R.without_residue(df, got, exclude_share=0.99).collect()) == [2, 3, 4, 5]
     assert R.find_residue(df.limit(0)).count() == 0

@@ -119,7 +119,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.find_residue(table(spark, sf_dir, "documents"))
+    return residue.find_residue(table(spark, sf_dir, "documents")).select("doc_id", "kind")
 
 
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

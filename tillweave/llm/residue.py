@@ -1,8 +1,10 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-One multi-pattern automaton holds all phrases, in many languages, another the marks of template fields. Cells
-are read paragraph by paragraph: a paragraph is residue if the phrases of a kind cover most of its letters, so
-prose that merely mentions such a phrase is not. Coverage is counted only where a phrase was met.
+A multi-pattern automaton holds words and short phrases of such messages in many languages, another one the marks
+that open template fields. Cells are read paragraph by paragraph; what follows looks only at paragraphs the
+automata met. A paragraph is a message if it says that something failed (or what scripts need) and words of
+messages cover most of its letters, so prose that merely mentions one is not. A field counts if what stands
+between its marks is what fields hold. A document is left out if such paragraphs are much of it.
 """
 
 from __future__ import annotations
@@ -17,210 +19,319 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.llm import residue_lexicon as lexicon
+
 PLACEHOLDER, FILLER, ERROR_PAGE, SCRIPT_NOTICE = "placeholder", "filler", "error_page", "script_notice"
 
-#: Share of a paragraph's letters that phrases of one kind must cover.
-COVERAGE = 0.5
-
-#: Messages of servers and viewers that content could not be delivered.
-ERROR_PHRASES = (
-    "404 not found", "not found", "page not found", "file not found", "403 forbidden", "forbidden", "401 unauthorized", "unauthorized", "bad request", "bad gateway", "gateway timeout", "gateway time-out", "gateway timed out while loading the preview", "gateway timed out",
-    "internal server error", "service unavailable", "service temporarily unavailable", "the service is temporarily unavailable", "temporarily unavailable", "service problem", "error: the service is", "server error", "too many requests", "rate limit exceeded", "your address has been limited for", "your address has been limited", "minutes", "request timeout", "request timed out",
-    "access denied", "accessdenied", "nosuchkey", "permission denied", "you do not have permission to view this notebook", "you do not have permission to view this page", "you do not have permission to access this resource", "you don't have permission to access", "request id", "requestid", "reference id",
-    "your session has expired", "session expired", "sign in again to continue", "please sign in again", "please log in to continue", "oops! something went wrong on our side", "oops! something went wrong", "something went wrong on our side", "something went wrong", "we have been told about it", "an unexpected error occurred", "an error occurred while processing your request",
-    "we're down for maintenance", "we are down for maintenance", "down for maintenance", "scheduled maintenance", "please check back at", "please check back later", "please check back soon", "the page you are looking for has been moved or no longer exists", "the page you are looking for", "the page you requested could not be found", "the requested url was not found on this server", "the requested file does not exist", "this page does not exist", "has been moved or no longer exists", "no longer exists", "back to the start page", "return to the home page", "go back to the homepage",
-    "sorry, this notebook could not be rendered", "this notebook could not be rendered", "could not be rendered", "sorry, something went wrong. reload?", "please try again in a few minutes", "please try again later", "try again later", "unable to render", "this file is too large to be displayed", "sorry, this file is too large to display", "too large to be displayed", "download it to see the content", "served by edge", "served by", "cache server",
-    "connection refused", "the connection was reset", "this site can't be reached", "no healthy upstream", "upstream connect error", "error establishing a database connection",
-    # Spanish, Portuguese, Italian, French, German, Dutch, Polish, Swedish
-    "página no encontrada", "vuelva a intentarlo más tarde", "inténtelo de nuevo más tarde", "acceso denegado", "servicio no disponible", "error interno del servidor", "la página solicitada no existe", "página não encontrada", "tente novamente mais tarde", "acesso negado", "serviço indisponível", "pagina non trovata", "riprova più tardi", "accesso negato", "servizio non disponibile",
-    "la page demandée est introuvable", "page introuvable", "page non trouvée", "accès refusé", "service indisponible", "veuillez réessayer plus tard", "erreur interne du serveur", "erreur", "seite nicht gefunden", "die angeforderte datei existiert nicht", "die angeforderte seite wurde nicht gefunden", "zugriff verweigert", "dienst nicht verfügbar", "bitte versuchen sie es später erneut", "interner serverfehler", "fehler", "pagina niet gevonden", "toegang geweigerd", "probeer het later opnieuw", "nie znaleziono strony", "strona nie została znaleziona", "odmowa dostępu", "sidan kunde inte hittas", "åtkomst nekad",
-    # Russian, Ukrainian, Chinese, Japanese, Korean, Arabic, Turkish
-    "страница не найдена", "доступ запрещен", "доступ запрещён", "внутренняя ошибка сервера", "сервис временно недоступен", "попробуйте позже", "повторите попытку позже", "ошибка", "сторінку не знайдено", "页面不存在", "找不到页面", "页面未找到", "无法访问", "访问被拒绝", "服务器内部错误", "服务不可用", "请稍后再试", "找不到頁面", "ページが見つかりません", "お探しのページは見つかりませんでした", "アクセスが拒否されました", "しばらくしてからもう一度お試しください", "サーバーエラー", "エラー", "페이지를 찾을 수 없습니다", "접근이 거부되었습니다", "잠시 후 다시 시도해 주세요", "الصفحة غير موجودة", "تعذر العثور على الصفحة", "تم رفض الوصول", "الخدمة غير متاحة", "حاول مرة أخرى لاحقا", "خطأ", "sayfa bulunamadı", "erişim engellendi", "error",
-)
-
-#: Of these an error page needs one at least; the others only add to what is covered.
-WEAK_ERROR_PHRASES = frozenset({"not found", "forbidden", "unauthorized", "minutes", "error", "erreur", "fehler", "ошибка", "خطأ", "エラー", "request id", "requestid", "reference id", "served by", "served by edge", "cache server", "no longer exists", "bad request", "try again later", "server error", "temporarily unavailable"})
-
-#: Notices that scripts are needed or blocked.
-SCRIPT_PHRASES = (
-    "please enable javascript to view this notebook", "please enable javascript to view this page", "please enable javascript", "enable javascript to view", "you need to enable javascript to run this", "you need to enable javascript", "enable javascript in your browser", "enable javascript", "javascript is required", "requires javascript", "javascript must be enabled", "your browser has it switched off or does not support it", "your browser does not support javascript",
-    "it looks like javascript is disabled", "javascript is disabled", "javascript is turned off", "javascript is not enabled", "the figure below cannot be drawn without it", "cannot be drawn without it", "this output uses scripts, which are turned off in this viewer", "scripts, which are turned off", "allow scripts and reload the page", "allow scripts", "script execution is blocked until you mark this notebook as trusted", "script execution is blocked", "interactive map not shown", "mark this notebook as trusted", "make this notebook trusted to load map", "trust notebook",
-    "checking your browser before opening the preview", "checking your browser before accessing", "checking your browser", "scripts and cookies must be allowed", "enable scripts and cookies to continue", "enable scripts", "enable cookies", "turn on scripting to see the", "turn on scripting", "scripting is disabled", "notebook", "dashboard", "widget", "viewer", "chart", "check",
-    "veuillez activer javascript dans votre navigateur pour continuer", "veuillez activer javascript", "activez javascript", "bitte aktivieren sie javascript, um diese seite anzuzeigen", "bitte aktivieren sie javascript", "aktivieren sie javascript", "para ver este contenido, active javascript en su navegador", "active javascript en su navegador", "active javascript", "habilite javascript", "active o javascript", "ative o javascript", "habilite o javascript", "abilita javascript", "attiva javascript", "è necessario abilitare javascript", "schakel javascript in", "włącz obsługę javascript", "włącz javascript", "aktivera javascript", "aktiver javascript",
-    "включите javascript", "увімкніть javascript", "请启用javascript", "请启用 javascript", "需要启用javascript", "請啟用javascript", "請啟用 javascript", "javascriptを有効にしてください", "javascriptが無効", "javascriptを有効", "を有効にしてください", "javascript를 활성화", "자바스크립트를 활성화", "يرجى تمكين javascript", "يرجى تفعيل javascript", "تفعيل javascript", "javascript'i etkinleştirin",
-)
-WEAK_SCRIPT_PHRASES = frozenset({"notebook", "dashboard", "widget", "viewer", "chart", "check", "enable cookies", "allow scripts", "cannot be drawn without it"})
-
-#: Fill-in text. The words are those of the common Latin filler.
-FILLER_PHRASES = (
-    "this is a sample paragraph", "this is sample text", "it has no meaning", "your text goes here", "your text here", "your content goes here", "more paragraph text", "paragraph text", "sample text", "dummy text", "placeholder text", "insert text here", "the quick brown fox jumps over the lazy dog", "qwerty uiop", "qwerty", "uiop", "asdfgh", "asdf", "jkl", "zxcvb", "hjkl", "blah", "yada", "foo bar baz", "foo bar", "xxx", "xyz xyz", "abc abc", "test test", "text text", "dummy dummy", "la la", "bla bla", "lorem ipsum", "dolor sit amet", "hamburgefonstiv", "etaoin shrdlu",
-)
-LATIN_FILLER = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum rerum modi porro quae ipsa ipsam quisquam ullam aliquam odit error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ab illo inventore veritatis quasi architecto beatae vitae dicta explicabo nemo aspernatur aut fugit consequuntur magni dolores eos ratione sequi nesciunt neque dolorem adipisci numquam eius tempora incidunt quam quaerat".split()
-)
-#: Filler has one of these words at least.
-FILLER_SIGNS = ("lorem", "ipsum", "amet", "nostrud", "fugiat", "quisquam", "aliqua")
-
-#: Marks of instructions to the author and of unfilled fields. Each of PLACEHOLDER_SHAPES holds one, or fits _MARK_SHAPES.
-PLACEHOLDER_MARKS = (
-    "{{", "@@", "${", "#{", "{%", "<%", "[[", "[insert", "[enter", "[add", "[your", "&lt;", "__", "_here", "write your", "add your", "describe your", "put your", "(edit me)", "replace this ", "to be filled in", "goes here>", "click to edit",
-)
-_MARK_SHAPES = re.compile(r"%[A-Z_]{3,}%|<[A-Z][A-Z _]+>|\{\w+\}")
-
-_FIELD = r"[A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,3}"
-PLACEHOLDER_SHAPES = [
-    re.compile(p)
-    for p in (
-        r"\{\{\s*[A-Za-z_][\w.]{2,}(?:\s*\|\s*\w+)?\s*\}\}",
-        r"@@[A-Za-z_]\w+@@",
-        r"\$\{[A-Za-z_][\w.]+\}",
-        r"#\{[A-Za-z_][\w.]+\}",
-        r"\{%-?\s*(?:block|endblock|if|for|include|extends|set)\b[^%]*%\}",
-        r"<%=?[^%\n]+%>",
-        r"\[\[[A-Za-z_]\w*\]\]",
-        rf"(?i)\[(?:insert|enter|add|your)\s+{_FIELD}(?:\s+here)?\]",
-        r"(?m)^\s*#*\s*<[A-Z][A-Z _]{2,}>\s*$",
-        rf"&lt;{_FIELD}&gt;",
-        r"(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)",
-        r"(?<![\w%])%[A-Z][A-Z_]{2,}%(?![\w%])",
-        r"(?<!\w)(?:YOUR|INSERT)_[A-Z_]+_HERE(?!\w)",
-        r"(?i)^\W*(?:dear|hello|hi) \{\w+\}",
-        r"(?<![\\\w{}$^'\"(])\{(?:\d|[a-z_]{3,})\}[^{}\n]*(?<![\\\w{}$^'\"(])\{(?:\d|[a-z_]{3,})\}",
-        rf"(?i)\bwrite your {_FIELD} here\b",
-        rf"(?i)\b(?:add|describe|put) your {_FIELD} here\b",
-        r"(?i)\(edit me\)",
-        r"(?i)^\W*(?:\(|\[|<)?replace this (?:line|text|cell) with\b",
-        r"(?i)\bto be filled in\s*:?\s*_{2,}",
-        r"(?i)<[^<>\n]*\bgoes here>",
-        r"(?i)\b(?:double-)?click to edit\b",
-    )
-]
+#: Share of a paragraph's letters that words of messages, or of fill-in text, must cover; that of an instruction.
+COVERAGE, FILLER_COVERAGE, INSTRUCTION_COVERAGE = 0.7, 0.7, 0.3
+#: Letters up to which a word counts neither for nor against.
+SHORT = 3
+#: Share of a document's characters from which its residue paragraphs make it one to leave out.
+EXCLUDE_SHARE = 0.02
+FIELD_LENGTH = 60
+
+SUBJECT, FAILURE, PLAIN, ADVICE, STATE, BROWSER, NOUN, GLUE, PLEA = (1 << k for k in range(9))
+_ROLES = {"subject": SUBJECT, "failure": FAILURE, "plain": PLAIN, "advice": ADVICE, "state": STATE, "browser": BROWSER, "glue": GLUE}
+_ERROR, _SCRIPT = SUBJECT | FAILURE | PLAIN | ADVICE, SUBJECT | FAILURE | ADVICE | STATE | BROWSER | NOUN
+_FILL, _CORE, _LATIN = 1, 2, 4
 
 _PARAGRAPHS = re.compile(r"\n[ \t]*\n")
-_TAGS = re.compile(r"</?[A-Za-z!][^<>]*>")
+#: A tag has attributes or nothing behind its name; other words in angle brackets are text.
+_TAGS = re.compile(r"<(?:/?[A-Za-z][\w:-]*(?:\s[^<>=]*=[^<>]*)?\s*/?|![^<>]*)>")
 _WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _REPEATED = re.compile(r"\b([^\W\d_]{2,})(?:\W+\1\b){2,}", re.I)
 _MATH_OR_CODE = re.compile(r"\$[^$\n]+\$|`[^`\n]+`")
 _TRACE = re.compile(r"Traceback \(most recent call last\)|^\s*File \"|^\w+(?:Error|Exception)\b", re.M)
+#: Words that a bare status stands with.
+_STATUS_WORDS = ("http", "status", "code", "message", "detail", "reason", "title")
+_STATUS = re.compile(r"(?<!\w)[45]\d\d(?!\w)")
 
 
-def _tidy(text: str) -> str:
-    return re.sub(r"\s+", " ", text.replace("’", "'").lower())
+def _listed(text: str) -> list[str]:
+    return [w.strip() for w in text.split(",") if w.strip()]
 
 
-@lru_cache(maxsize=1)
-def automaton() -> ahocorasick.Automaton:
-    """Phrase -> the kinds it counts for; one automaton for all."""
-    found: dict[str, set[tuple[str, bool]]] = {}
-    for kind, phrases, weak in ((ERROR_PAGE, ERROR_PHRASES, WEAK_ERROR_PHRASES), (SCRIPT_NOTICE, SCRIPT_PHRASES, WEAK_SCRIPT_PHRASES), (FILLER, FILLER_PHRASES, frozenset())):
-        for phrase in phrases:
-            found.setdefault(phrase, set()).add((kind, phrase not in weak))
+def _machine(patterns: dict[str, object]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for phrase, kinds in found.items():
-        out.add_word(phrase, (len(phrase), tuple(kinds)))
+    for pattern, value in patterns.items():
+        out.add_word(pattern, (len(pattern), value))
     out.make_automaton()
     return out
 
 
-def _any_of(phrases: set[str]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for phrase in phrases:
-        out.add_word(phrase, phrase)
-    out.make_automaton()
-    return out
+@lru_cache(maxsize=1)
+def message_words() -> ahocorasick.Automaton:
+    """Pattern -> (roles, whether it stands for all words with that beginning)."""
+    roles: dict[str, list] = {}
+    listed = [(w, _ROLES[role]) for language in lexicon.MESSAGES.values() for role, words in language.items() for w in _listed(words)]
+    for word, role in [*listed, *((w, NOUN) for w in _listed(lexicon.SCRIPT_NOUNS)), *((w, ADVICE | PLEA) for w in _listed(lexicon.PLEAS))]:
+        entry = roles.setdefault(word.rstrip("*"), [0, False])
+        entry[0] |= role
+        entry[1] |= word.endswith("*")
+    return _machine({w: tuple(v) for w, v in roles.items()})
+
+
+@lru_cache(maxsize=1)
+def filler_words() -> ahocorasick.Automaton:
+    roles: dict[str, int] = {}
+    for words, role in ((lexicon.FILLER, _FILL), (lexicon.FILLER_CORES, _FILL | _CORE), (lexicon.LATIN_SIGNS, _LATIN)):
+        for w in _listed(words):
+            roles[w] = roles.get(w, 0) | role
+    return _machine(roles)
+
+
+_MESSAGE, _FILLING, _INSTRUCTION = "message", "filler", "instruction"
 
 
 @lru_cache(maxsize=1)
-def strong_phrases() -> ahocorasick.Automaton:
-    """The phrases without one of which _covered() is 0 for every kind."""
-    return _any_of({p for kinds, p in (({heavy for _, heavy in v[1]}, k) for k, v in automaton().items()) if True in kinds})
+def triggers() -> ahocorasick.Automaton:
+    """What a paragraph in lower case must hold to be looked at, with the check it is for. Every check starts from one."""
+    found: dict[str, set] = {}
+    for word, (_, (role, _)) in ((w, v) for w, v in message_words().items()):
+        if role & (FAILURE | PLAIN | NOUN) or word in _STATUS_WORDS:
+            found.setdefault(word, set()).add(_MESSAGE)
+    for word, (_, role) in filler_words().items():
+        if role & (_CORE | _LATIN):
+            found.setdefault(word, set()).add(_FILLING)
+    for phrase in _listed(lexicon.INSTRUCTIONS):
+        found.setdefault(phrase.split("\u2026")[0].strip(), set()).add(_INSTRUCTION)
+    for word in _listed(lexicon.BRACKETED):
+        found.setdefault("[" + word, set()).add(_INSTRUCTION)
+    for word in _listed(lexicon.BRACKET_ENDS):
+        found.setdefault(word + "]", set()).add(_INSTRUCTION)
+    return _machine({k: tuple(sorted(v)) for k, v in found.items()})
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 @lru_cache(maxsize=1)
-def placeholder_marks() -> ahocorasick.Automaton:
-    return _any_of(set(PLACEHOLDER_MARKS))
+def field_marks() -> ahocorasick.Automaton:
+    """Marks that open a field; those that are common otherwise with the first letter of what they hold."""
+    first = {"capitals": _UPPER, "line": _UPPER, "braces": "0123456789_abcdefghijklmnopqrstuvwxyz" + _UPPER}
+    marks = {}
+    for opener, closer, rule in lexicon.FIELDS:
+        for letter in first.get(rule, ("",)):
+            marks[opener + letter] = (opener, closer, rule)
+    return _machine(marks)
+
 
+def _wide(c: str) -> bool:
+    """Whether c is of a script that is written without blanks between words."""
+    return c >= "\u2e80"
 
-def _boundary(text: str, start: int, stop: int) -> bool:
+
+def _bounded(text: str, start: int, stop: int, ends: bool = True) -> bool:
     def joined(a: str, b: str) -> bool:
-        return a.isalnum() and b.isalnum() and a < "⺀" and b < "⺀"
-
-    return not (start and joined(text[start - 1], text[start])) and not (stop < len(text) and joined(text[stop - 1], text[stop]))
-
-
-def _covered(text: str) -> dict[str, float]:
-    """Share of the letters of text that the phrases of each kind cover; 0 without a strong phrase."""
-    marks = {k: np.zeros(len(text), bool) for k in (ERROR_PAGE, SCRIPT_NOTICE, FILLER)}
-    strong = set()
-    for end, (size, kinds) in automaton().iter(text):
-        start = end - size + 1
-        if _boundary(text, start, end + 1):
-            for kind, heavy in kinds:
-                marks[kind][start : end + 1] = True
-                if heavy:
-                    strong.add(kind)
-    letters = np.zeros(len(text), bool)
+        return a.isalnum() and b.isalnum() and not (_wide(a) or _wide(b))
+
+    return not (start and joined(text[start - 1], text[start])) and not (ends and stop < len(text) and joined(text[stop - 1], text[stop]))
+
+
+def _tidy(paragraph: str) -> str:
+    if "<" in paragraph:
+        paragraph = _TAGS.sub(" ", paragraph)
+    if "&" in paragraph:
+        paragraph = html.unescape(paragraph)
+    return " ".join(paragraph.replace("\u2019", "'").lower().split())
+
+
+def _marked(text: str, machine: ahocorasick.Automaton, roles_of) -> np.ndarray:
+    """The roles of each character of text, as bits."""
+    marks = np.zeros(len(text), np.uint16)
+    for end, (size, value) in machine.iter(text):
+        start, stop = end - size + 1, end + 1
+        role, beginning = roles_of(value)
+        if _bounded(text, start, stop, not beginning):
+            while beginning and stop < len(text) and text[stop].isalnum() and not _wide(text[stop]):
+                stop += 1
+            marks[start:stop] |= role
+    return marks
+
+
+def _spans(text: str, least: int = 1) -> Iterator[tuple[int, int]]:
+    """The words of text without digits."""
     for m in _WORDS.finditer(text):
-        if not any(c.isdigit() for c in m[0]):
-            letters[m.start() : m.end()] = True
-    total = int(letters.sum())
-    return {k: float((mark & letters).sum()) / total if total and k in strong else 0.0 for k, mark in marks.items()}
+        if m.end() - m.start() >= least and not any(c.isdigit() for c in m[0]):
+            yield m.span()
 
 
-def _is_filler(words: list[str], repeats: bool) -> bool:
-    n = len(words)
-    if n < 5:
+def message_kind(text: str, noscript: bool) -> str | None:
+    """Whether a tidy paragraph is an error page or a script notice.
+
+    noscript: whether it has an element for readers without scripts, which says by itself what the text is for.
+    """
+    marks = _marked(text, message_words(), lambda v: v)
+    met = int(np.bitwise_or.reduce(marks)) if len(marks) else 0
+    if noscript and met & (NOUN | STATE):
+        return SCRIPT_NOTICE
+    scripts = bool(met & NOUN and met & STATE)
+    status = bool(_STATUS.search(text))
+    failed = bool(met & FAILURE) or bool(met & PLAIN and (met & (SUBJECT | PLEA) or status)) or bool(status and ("http" in text or text[0] == "{"))
+    if not scripts and not failed:
+        return None
+    wanted = _SCRIPT if scripts else _ERROR
+    covered = total = 0
+    for a, b in _spans(text):
+        part = marks[a:b]
+        own = int(((part & wanted) != 0).sum())
+        # Short words and glue are neutral; in scripts without blanks each character counts by itself.
+        if own or _wide(text[a]) or b - a > SHORT and not (part & GLUE).any():
+            covered += own
+            total += b - a
+    if total and covered >= COVERAGE * total:
+        return SCRIPT_NOTICE if scripts else ERROR_PAGE
+    return None
+
+
+def is_filler(text: str, repeats: bool) -> bool:
+    """Whether a tidy paragraph is fill-in text: phrases that mean nothing, Latin filler, or few words again and again."""
+    marks = _marked(text, filler_words(), lambda v: (v, False))
+    words = [(text[a:b], marks[a:b]) for a, b in _spans(text)]
+    total = sum(len(w) for w, _ in words)
+    if not total:
         return False
-    if sum(w in LATIN_FILLER for w in words) >= 0.7 * n and len(set(words) & LATIN_FILLER) > 3 and any(w in FILLER_SIGNS for w in words):
+    if any((m & _CORE).any() for _, m in words) and sum(int((m & _FILL != 0).sum()) for _, m in words) >= FILLER_COVERAGE * total:
         return True
-    return repeats and n >= 6 and len(set(words)) * 3 <= n and all(w.isalpha() for w in words)
-
-
-_JSON_ERROR = re.compile(r"^\s*\{[^{}]*\"(?:message|error|detail|reason|title)\"\s*:\s*\"(?:not found|forbidden|unauthorized|access denied|bad gateway|bad request|service unavailable|internal server error|too many requests|gateway time-?out|request timeout|[45]\d\d[^\"]*)\"[^{}]*\}\s*$", re.I)
-_BARE_STATUS = re.compile(r"^\W*(?:http\s*)?(?:error\s*)?[45]\d\d\W*(?:(?:not found|forbidden|unauthorized|bad request|error|server error|gone)\W*)?$")
+    n = len(words)
+    signs = sum(bool((m & _LATIN).any()) for _, m in words)
+    if n >= 5 and signs and len({w for w, _ in words}) > 3:
+        latin = sum(bool((m & _LATIN).any()) or w.endswith(lexicon.LATIN_ENDINGS) for w, m in words)
+        if signs >= max(2, n // 6) and latin >= 0.9 * n or latin == n < 12:
+            return True
+    return repeats and n >= 6 and len({w for w, _ in words}) * 3 <= n and all(w.isalpha() for w, _ in words)
+
+
+_NAME = re.compile(r"-?\s*[^\W\d][\w.-]*(?:\s*\|\s*\w+)?\s*")
+_CAPITALS = re.compile(r"[A-Z][A-Z0-9_]*[A-Z]")
+_FEW_WORDS = re.compile(r"[^\W\d][\w.]*(?: [^\W\d][\w.]*){0,3}")
+_CAPITAL_LINE = re.compile(r"[\s#]*<[A-Z][A-Z _]{2,}>\s*")
+_BRACE = re.compile(r"\{(?:\d|[a-z_]{3,}|\w{3,})\}")
+_GREETING = re.compile(r"\W*(?:dear|hello|hi|hola|bonjour|hallo|ciao|ol\u00e1) $", re.I)
+
+
+def _holds_field(text: str, at: int, opener: str, closer: str, rule: str) -> bool:
+    """Whether the field that opener begins at `at` is one: closed on its line, and holding what rule says."""
+    start = at + len(opener)
+    stop = text.find(closer, start, start + FIELD_LENGTH + len(closer))
+    if stop <= start or "\n" in text[at:stop]:
+        return False
+    content, after = text[start:stop], text[stop + len(closer) : stop + len(closer) + 1]
+    before = text[at - 1] if at else ""
+    if rule == "name":
+        return len(content.strip()) > 2 - (opener != "{{") and bool(_NAME.fullmatch(content))
+    if rule == "capitals":
+        return len(content) > 2 and bool(_CAPITALS.fullmatch(content)) and not (before.isalnum() or before in ("_", "%")) and not (after.isalnum() or after in ("_", "%"))
+    if rule == "words":
+        return bool(_FEW_WORDS.fullmatch(content))
+    if rule == "line":
+        return bool(_CAPITAL_LINE.fullmatch(text[text.rfind("\n", 0, at) + 1 : text.find("\n", stop) if "\n" in text[stop:] else len(text)]))
+    return bool(content.strip())
+
+
+def has_field(paragraph: str) -> bool:
+    """Whether a paragraph holds an unfilled template field; formulas and quoted code are left out."""
+    prose = _MATH_OR_CODE.sub(" ", paragraph)
+    braces: list[tuple[int, int]] = []
+    for end, (size, (opener, closer, rule)) in field_marks().iter(prose):
+        at = end - size + 1
+        if rule != "braces":
+            if _holds_field(prose, at, opener, closer, rule):
+                return True
+        elif (m := _BRACE.match(prose, at)) and not (at and (prose[at - 1].isalnum() or prose[at - 1] in "\\_{}$^'\"(")) and prose[m.end() : m.end() + 1] != "}":
+            if _GREETING.fullmatch(prose[:at]):
+                return True
+            # Two fields of a sentence, with no other braces between them, aren't a formula or a mapping.
+            if braces and not set("{}\n") & set(prose[braces[-1][1] : at]):
+                return True
+            braces.append((at, m.end()))
+    return False
+
+
+def has_instruction(text: str, met: list[tuple[int, int]]) -> bool:
+    """Whether a tidy paragraph instructs its author. met: (start, end) of the beginnings of instructions in it."""
+    halves: dict[str, list[str]] = {}
+    for phrase in _listed(lexicon.INSTRUCTIONS):
+        head, _, tail = phrase.partition("\u2026")
+        halves.setdefault(head.strip(), []).append(tail.strip())
+    total = sum(b - a for a, b in _spans(text))
+    for start, end in met:
+        head = text[start:end]
+        if head.startswith("[") or head.endswith("]"):
+            if head.endswith("]"):
+                start, stop, end = text.rfind("[", max(0, start - FIELD_LENGTH), start), end - 1, len(text)
+                if start < 0:
+                    continue
+            else:
+                stop = text.find("]", end, end + FIELD_LENGTH)
+            inside = text[start + 1 : stop].strip()
+            # What follows tells a link from a field; a field is a few words.
+            if stop > 0 and text[stop + 1 : stop + 2] not in ("(", "[", ":") and len(inside.split()) < 7 and _FEW_WORDS.match(inside) and (end >= len(text) or not text[end].isalpha() or _wide(text[end])):
+                return True
+            continue
+        for tail in halves.get(head, ()):
+            stop = end
+            if tail:
+                place = text.find(tail, end, end + FIELD_LENGTH)
+                if place < 0 or len(text[end:place].split()) > 4 or _wide(head[-1]) and place - end > 12:
+                    continue
+                stop = place + len(tail)
+            covered = sum(max(0, min(b, stop) - max(a, start)) for a, b in _spans(text))
+            if covered >= INSTRUCTION_COVERAGE * total or head.startswith("todo") and not any(c.isalnum() for c in text[:start]):
+                return True
+    return False
 
 
 def paragraph_kinds(paragraph: str, repeats: bool) -> set[str]:
-    """The kinds of residue that one paragraph is. The dear checks run only where they could accept.
+    """The kinds of residue that one paragraph is. Each check starts from something an automaton met.
 
     repeats: whether few words that come again and again are filler.
     """
     kinds = set()
-    prose = _MATH_OR_CODE.sub(" ", paragraph)
-    if (next(placeholder_marks().iter(prose.lower()), None) or _MARK_SHAPES.search(prose)) and any(p.search(prose) for p in PLACEHOLDER_SHAPES):
+    text = _tidy(paragraph)
+    met: set[str] = set()
+    heads = []
+    for end, (size, checks) in triggers().iter(text):
+        if not met.issuperset(checks) or _INSTRUCTION in checks:
+            if _bounded(text, end - size + 1, end + 1, False):
+                met.update(checks)
+                if _INSTRUCTION in checks:
+                    heads.append((end - size + 1, end + 1))
+    if has_field(paragraph) or heads and has_instruction(text, heads):
         kinds.add(PLACEHOLDER)
-    text = _tidy(html.unescape(_TAGS.sub(" ", paragraph)))
-    residue = set()
-    if next(strong_phrases().iter(text), None):
-        residue |= {kind for kind, part in _covered(text).items() if part >= (0.7 if kind == FILLER else COVERAGE)}
-    if _BARE_STATUS.match(text) and re.search(r"[a-z]", text):
-        residue.add(ERROR_PAGE)
-    if _JSON_ERROR.match(paragraph):
-        residue.add(ERROR_PAGE)
-    if "<noscript" in paragraph.lower():
-        residue.add(SCRIPT_NOTICE)
-    if (repeats or any(w in text for w in FILLER_SIGNS)) and _is_filler(_WORDS.findall(text), repeats):
-        residue.add(FILLER)
-    return kinds | residue if residue and not _TRACE.search(paragraph) else kinds
+    noscript = "<noscript" in paragraph.lower()
+    if _MESSAGE in met or noscript:
+        kind = message_kind(text, noscript)
+        if kind and not _TRACE.search(paragraph):
+            kinds.add(kind)
+    if (_FILLING in met or repeats) and is_filler(text, repeats) and not _TRACE.search(paragraph):
+        kinds.add(FILLER)
+    return kinds
 
 
-def cell_kinds(body: str, markdown: bool) -> set[str]:
-    """The kinds of residue in a markdown or output cell.
+def cell_residue(body: str, markdown: bool) -> dict[str, int]:
+    """The kinds of residue in a markdown or output cell, with the characters of the paragraphs that are it.
 
-    Few words again and again are filler only where one comes three times running or the cell holds a phrase
-    or mark: prose may say one sentence of each column.
+    Few words again and again are filler only where one comes three times running: prose may say one sentence of
+    each column. Repetition is no phrase, so words are counted; all else comes from the automata.
     """
-    lower = body.lower().replace("’", "'")
-    repeats = markdown and bool(_REPEATED.search(body) or next(strong_phrases().iter(lower), None) or next(placeholder_marks().iter(lower), None) or any(w in lower for w in FILLER_SIGNS) or _MARK_SHAPES.search(body))
-    kinds: set[str] = set()
+    repeats = markdown and bool(_REPEATED.search(body))
+    kinds: dict[str, int] = {}
     for paragraph in _PARAGRAPHS.split(body.replace("\r\n", "\n").replace("\r", "\n")):
         if paragraph.strip():
-            kinds |= paragraph_kinds(paragraph, repeats)
+            for kind in paragraph_kinds(paragraph, repeats):
+                kinds[kind] = kinds.get(kind, 0) + len(paragraph)
     return kinds
 
 
+def cell_kinds(body: str, markdown: bool) -> set[str]:
+    return set(cell_residue(body, markdown))
+
+
 _CELL_TAG = re.compile(r"^<cell type=(\w+)[^>\n]*>$(.*?)^</cell>$", re.M | re.S)
 _PERCENT = re.compile(r"^(# %%(?: \[(\w+)\])?|# Out:)$", re.M)
 _PROMPT = re.compile(r"^(In|Out) ?\[[ \d]*\]:$", re.M)
@@ -259,17 +370,18 @@ def cells_of(text: str) -> list[tuple[str, str]]:
 
 
 def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells_col: str = "cells") -> DataFrame:
-    """(id, kind): one row for each kind of residue in a markdown or output cell of a document.
+    """(id, kind, share): one row for each kind of residue in a markdown or output cell of a document.
 
-    Null and empty texts have none. Where cells are null they are found by the layout of the text. Offsets
-    outside the text are cut to it. Repeated documents give repeated rows, extra columns are ignored, an
-    empty table gives no rows, cells are read whole. Map-only.
+    share is what the paragraphs of that kind are of the document's characters. Null and empty texts have none.
+    Where cells are null they are found by the layout of the text. Offsets outside the text are cut to it.
+    Repeated documents give repeated rows, extra columns are ignored, an empty table gives no rows, cells are
+    read whole. Map-only.
     """
-    schema = T.StructType([docs.schema[id_col], T.StructField("kind", T.StringType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("kind", T.StringType()), T.StructField("share", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kinds = [], []
+            rows, kinds, shares = [], [], []
             cells = batch.column(2)
             known = cells.is_valid().to_pylist()
             flat = cells.flatten()
@@ -278,23 +390,29 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                found: set[str] = set()
+                found: dict[str, int] = {}
                 if known[i]:
                     bodies = ((types[k], text[max(0, starts[k]) : max(0, ends[k])]) for k in range(edges[i], edges[i + 1]) if starts[k] is not None and ends[k] is not None)
                 else:
                     bodies = iter(cells_of(text))
                 for kind, body in bodies:
                     if kind in ("markdown", "output") and body:
-                        found |= cell_kinds(body, kind == "markdown")
-                rows += [i] * len(found)
-                kinds += sorted(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string())], names=schema.names)
+                        for k, size in cell_residue(body, kind == "markdown").items():
+                            found[k] = found.get(k, 0) + size
+                for kind in sorted(found):
+                    rows.append(i)
+                    kinds.append(kind)
+                    shares.append(min(1.0, found[kind] / len(text)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(shares, pa.float64())], names=schema.names)
 
     slim = docs.selectExpr(f"`{id_col}`", f"`{text_col}`", f"transform(`{cells_col}`, c -> named_struct('t', c.cell_type, 'a', c.char_start, 'b', c.char_end)) as _cells")
     return slim.mapInArrow(run, schema)
 
 
-def without_residue(docs: DataFrame, residue: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that hold no residue; residue: what find_residue() gave for docs."""
-    gone = residue.select(residue[id_col].alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def without_residue(docs: DataFrame, residue: DataFrame, id_col: str = "doc_id", exclude_share: float = EXCLUDE_SHARE) -> DataFrame:
+    """The documents of which residue is less than exclude_share; residue: what find_residue() gave for docs.
+
+    A notebook with one forgotten field in a long text stays; one that is largely an error page goes.
+    """
+    much = residue.groupBy(residue[id_col].alias("_gone")).agg(F.sum("share").alias("_share")).filter(F.col("_share") >= exclude_share)
+    return docs.join(much.select("_gone"), docs[id_col] == much["_gone"], "left_anti")
