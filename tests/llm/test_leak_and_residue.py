@@ -35,27 +35,49 @@ def test_leaks_against_brute_force(spark):
     docs = [(1000 + k, text_with(RND.randrange(0, 4))) for k in range(80)] + [(2000, None), (2001, ""), (2002, " ".join(WORDS) * 200)]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as run", "2 as item_id")
     items = spark.createDataFrame(ITEMS + [(77, None), (78, "")], "item_id int, passage string")
-    got = L.find_leaks(d, items)
+    got = L.find_leaks(d, items).filter("run > 0")
     assert sorted((r.item_id, r.doc_id) for r in got.collect()) == brute(docs)
     assert L.find_leaks(d, items.limit(0)).count() == 0 and L.find_leaks(d.limit(0), items).count() == 0
-    twice = L.find_leaks(d.unionByName(d), items)
+    twice = L.find_leaks(d.unionByName(d), items).filter("run > 0")
     assert twice.count() == 2 * len(brute(docs))
 
 
-def test_paraphrases_keep_order_and_key_words(spark):
-    item = "seven copper lanterns hung over the quiet harbour while Maro counted 58 ropes and Tilda mended 31 sails before the storm reached the northern pier at dusk on Friday evening with heavy rain and wind from the bay"
-    near = item.replace("quiet", "calm").replace("mended", "repaired").replace("heavy", "hard")
-    docs = spark.createDataFrame([(1, "intro " * 20 + near + " outro" * 20), (2, " ".join(reversed(item.split())) + " x" * 30), (3, None), (4, "other words " * 40)], "doc_id long, text string")
-    got = L.find_paraphrases(docs, spark.createDataFrame([(5, item)], "item_id int, passage string"), span=24)
-    assert [(r.item_id, r.doc_id) for r in got.collect()] == [(5, 1)]
-
-
-def test_a_short_text_that_rewords_a_passage_is_found(spark):
-    item = "seven copper lanterns hung over the quiet harbour while Maro counted 58 ropes and Tilda mended 31 sails before the storm reached the northern pier at dusk on Friday evening with heavy rain and wind from the bay"
-    part = item.split(" before")[0].replace("quiet", "calm").replace("mended", "repaired")
-    docs = spark.createDataFrame([(1, item.replace("quiet", "calm")), (2, part), (3, None), (4, ""), (5, "other words here"), (6, " ".join(reversed(item.split())))], "doc_id long, text string")
-    got = L.find_paraphrases(docs, spark.createDataFrame([(5, item)], "item_id int, passage string"))
-    assert sorted((r.item_id, r.doc_id) for r in got.collect()) == [(5, 1), (5, 2)]
+PASSAGE = "seven copper lanterns hung over the quiet harbour while Maro counted 58 ropes and Tilda mended 31 sails before the storm reached the northern pier at dusk on Friday evening with heavy rain and wind from the bay"
+
+
+def test_rewordings_keep_order_and_telling_words(spark):
+    near = PASSAGE.replace("quiet", "calm").replace("mended", "repaired").replace("heavy", "hard")
+    short = PASSAGE.split(" before")[0].replace("quiet", "calm").replace("mended", "repaired")
+    docs = [(1, "intro " * 20 + near + " outro" * 20), (2, " ".join(reversed(PASSAGE.split())) + " x" * 30), (3, None), (4, "other words " * 40), (5, short), (6, ""), (7, PASSAGE)]
+    got = L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, PASSAGE)], "item_id int, passage string"))
+    rows = {r.doc_id: r for r in got.collect()}
+    assert sorted(rows) == [1, 5, 7] and all(r.common >= 0.5 and r.answers >= 0.5 for r in rows.values())
+    assert rows[7].run == len(PASSAGE.split()) and rows[5].run == 0 and rows[7].common == 1.0
+
+
+def reworded(words, rnd):
+    """A part of a passage with a fifth of its words replaced, some dropped and some changed places."""
+    size = rnd.randrange(30, 61)
+    start = rnd.randrange(0, len(words) - size + 1)
+    part = [f"syn{rnd.randrange(5000)}" if rnd.random() < 0.2 else w for w in words[start : start + size] if rnd.random() > 0.05]
+    for k in range(0, len(part) - 1, 9):
+        part[k], part[k + 1] = part[k + 1], part[k]
+    return part
+
+
+def test_recall_of_planted_rewordings(spark):
+    """220 passages reworded and hidden in documents of the same vocabulary, beside as many without any."""
+    rnd = random.Random(11)
+    common = [f"c{i}" for i in range(200)]
+    items = [(i, [rnd.choice(common) if rnd.random() < 0.55 else f"r{rnd.randrange(2500)}" for _ in range(rnd.randrange(60, 110))]) for i in range(1, 221)]
+    prose = lambda n: [rnd.choice(common) if rnd.random() < 0.6 else f"o{rnd.randrange(4000)}" for _ in range(n)]
+    docs = [(1000 + i, " ".join(prose(rnd.randrange(0, 300)) + reworded(w, rnd) + prose(rnd.randrange(0, 300)))) for i, w in items]
+    docs += [(5000 + i, " ".join(prose(400))) for i in range(220)]
+    got = L.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id int, passage string"))
+    found = {(r.item_id, r.doc_id) for r in got.filter("common > 0").collect()}
+    right = found & {(i, 1000 + i) for i, _ in items}
+    print(len(right), len(found))
+    assert len(right) >= 0.9 * 220 and len(right) >= 0.95 * len(found)
 
 
 @pytest.mark.parametrize(

@@ -1,11 +1,15 @@
-"""Finding held-out passages inside a corpus.
+"""Finding held-out passages inside a corpus, copied or reworded.
 
 A randomised SVD, fitted by distributed passes over the TF-IDF vectors of the items' word windows, gives
-every word a latent vector. Windows of the corpus are projected with it and searched among the items'
-windows by cosine: as the vectors have length 1, two of cosine c lie within sqrt(2-2c) in every coordinate,
-so the search in one sorted coordinate loses nothing. Candidates are then checked word by word. A window
-copied from an item has the same vector, hence cosine 1, and its stride is such that each run of min_run
-words holds a whole window: nothing that is to be found can fall through the search.
+every word a latent vector. Pieces of the corpus are projected with it and searched among the pieces of the items
+by cosine, in blocks of one matrix product. Two sizes of pieces are asked: windows of six words, for copies, and
+stretches of two dozen, for reworded parts. What comes near is checked word by word: for the longest run it has in
+common with the passage, the longest common subsequence, and the share of its telling words (the answers: numbers,
+names and other rare words) that the passage holds.
+
+Copies are not lost by the search: a window copied from an item has cosine 1 with it, and their stride is such that
+each run of min_run words holds a whole window. A stretch of which fewer words are known to the items than must be
+common can't be a hit, so only such stretches are left out before.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
-#: The items' windows travel to the executors, so their number must stay within this.
-MAX_ITEM_WINDOWS = 2_000_000
+#: The items travel to the executors, so their text must stay within this; more are searched for in several calls.
+MAX_ITEM_BYTES = 64 << 20
+#: Cells of one matrix product.
+BLOCK = 1 << 22
 
 
 def words_of(text: str | None) -> list[str]:
@@ -31,168 +36,160 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+@dataclass(frozen=True)
+class Search:
+    """What counts as a leak, and how it is looked for.
+
+    min_run: words of a copy. span: words of a stretch, a shorter text is one stretch. min_common: share of a stretch
+    that must be a common subsequence with the passage. min_answers: share of its telling words that the passage
+    must hold. copy_cosine, stretch_cosine: how near a window or a stretch must be to be checked.
+    """
+
+    min_run: int = 12
+    window: int = 6
+    span: int = 24
+    min_common: float = 0.5
+    min_answers: float = 0.5
+    copy_cosine: float = 0.9
+    stretch_cosine: float = 0.5
+    rank: int = 32
+
+    def __post_init__(self) -> None:
+        if self.window > self.min_run:
+            raise ValueError("a window must not be longer than a run")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(np.square(v).sum(-1, keepdims=True))
+    return v / np.where(norm > 1e-12, norm, 1.0)
+
+
 @dataclass
 class LatentModel:
     """What the search needs of the items."""
 
+    search: Search
     vocabulary: dict[str, int]
-    words: np.ndarray  # latent vector of each word, weighted by its idf
+    words: np.ndarray  # latent vector of each word, weighted by its idf; a last row of zeros for other words
+    telling: np.ndarray  # whether a word is rare among the items
+    members: np.ndarray  # items x words: whether the item holds the word
     items: list[tuple[int, np.ndarray]]  # (item id, word numbers)
-    window: int
-    at: np.ndarray  # (item's place, first word) of each window, in the order of the first coordinate
-    vectors: np.ndarray
+    windows: np.ndarray  # word numbers of each item window
+    window_at: np.ndarray  # (item's place, first word) of each
+    window_vectors: np.ndarray
+    stretch_item: np.ndarray  # item's place of each item stretch
+    stretch_vectors: np.ndarray
 
     def project(self, ids: np.ndarray) -> np.ndarray:
-        """Unit latent vectors of windows (rows of word numbers)."""
-        v = self.words[ids[:, 0]].copy()
-        for j in range(1, ids.shape[1]):
-            v += self.words[ids[:, j]]
-        norm = np.sqrt(np.square(v).sum(1))
-        return v / np.where(norm > 1e-12, norm, 1.0)[:, None]
+        """Unit latent vectors of pieces (rows of word numbers)."""
+        return _unit(self.words[ids].sum(1))
 
 
-def _partial_products(windows: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A basis for the TF-IDF matrix A of windows, as a sum over partitions of bounded size |V| x columns."""
+def _windows_of(ids: np.ndarray, size: int, stride: int = 1) -> np.ndarray:
+    """Pieces of size words; the last one ends with the text, and a shorter text is one piece, filled up with -1."""
+    if len(ids) <= size:
+        return np.concatenate([ids, np.full(size - len(ids), -1, ids.dtype)])[None]
+    starts = np.unique(np.append(np.arange(0, len(ids) - size + 1, stride), len(ids) - size))
+    return ids[starts[:, None] + np.arange(size)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _partial_products(texts: DataFrame, vocabulary: dict[str, int], window: int, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis for the TF-IDF matrix A of the texts' windows, as a sum over partitions of bounded size |V| x columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(basis)
         weighted = basis * weights[:, None]
         for batch in batches:
-            if len(batch):
-                ids = np.stack(batch["ids"].to_numpy())
-                y = weighted[ids].sum(1)
-                for j in range(ids.shape[1]):
-                    np.add.at(total, ids[:, j], y * weights[ids[:, j]][:, None])
-        yield pd.DataFrame({"part": [total.ravel().tolist()]})
-
-    parts = windows.mapInPandas(run, "part array<double>")
+            for text in batch.column(0).to_pylist():
+                ids = np.array([vocabulary[w] for w in words_of(text)], np.int64)
+                if len(ids) < window:
+                    continue
+                pieces = _windows_of(ids, window)
+                y = weighted[pieces].sum(1)
+                for j in range(window):
+                    np.add.at(total, pieces[:, j], y * weights[pieces[:, j]][:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["part"])
+
+    parts = texts.mapInArrow(run, "part array<double>")
     return sum((np.asarray(r.part) for r in parts.toLocalIterator()), np.zeros(basis.size)).reshape(basis.shape)
 
 
-def randomised_svd(windows: DataFrame, weights: np.ndarray, rank: int, passes: int = 2, extra: int = 8, seed: int = 7) -> np.ndarray:
-    """The first right singular vectors (|V| x rank) of the windows' TF-IDF matrix."""
+def randomised_svd(texts: DataFrame, vocabulary: dict[str, int], window: int, weights: np.ndarray, rank: int, passes: int = 2, extra: int = 8, seed: int = 7) -> np.ndarray:
+    """The first right singular vectors (|V| x rank) of the TF-IDF matrix of the texts' windows; a pass reads the table once."""
     size = min(len(weights), rank + extra)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weights), size)))[0]
     for _ in range(passes):
-        q = np.linalg.qr(_partial_products(windows, weights, q))[0]
-    small = q.T @ _partial_products(windows, weights, q)
+        q = np.linalg.qr(_partial_products(texts, vocabulary, window, weights, q))[0]
+    small = q.T @ _partial_products(texts, vocabulary, window, weights, q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, np.argsort(-values)[: min(rank, size)]]
 
 
-def fit(items: DataFrame, item_col: str = "item_id", text_col: str = "passage", window: int = 6, rank: int = 32) -> LatentModel | None:
-    """The latent model of the held-out items; None if no item has a whole window."""
-    rows = items.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).dropna().limit(MAX_ITEM_WINDOWS + 1).collect()
-    texts = sorted({(i, text) for i, text in rows})
-    split = [(i, w) for i, w in ((i, words_of(text)) for i, text in texts) if len(w) >= window]
-    count = sum(len(w) - window + 1 for _, w in split)
+def fit(items: DataFrame, item_col: str = "item_id", text_col: str = "passage", search: Search = Search()) -> LatentModel | None:
+    """The latent model of the held-out items; None if no item has a word."""
+    texts = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > MAX_ITEM_BYTES:
+        raise ValueError(f"the items hold more than {MAX_ITEM_BYTES} bytes; search for them in several calls")
+    split = [(i, w) for i, w in ((i, words_of(text)) for i, text in sorted(map(tuple, texts.collect()))) if w]
     if not split:
         return None
-    if count > MAX_ITEM_WINDOWS or len(rows) > MAX_ITEM_WINDOWS:
-        raise ValueError(f"the items have more than {MAX_ITEM_WINDOWS} windows; search for them in several calls")
     vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in split for x in w}))}
     coded = [(i, np.array([vocabulary[x] for x in w], np.int64)) for i, w in split]
-    at = np.array([(n, p) for n, (_, w) in enumerate(coded) for p in range(len(w) - window + 1)], np.int64)
-    ids = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, window) for _, w in coded])
-    frequency = np.bincount(np.concatenate([np.unique(w) for _, w in coded]), minlength=len(vocabulary))
+    members = np.zeros((len(coded), len(vocabulary)), bool)
+    for n, (_, w) in enumerate(coded):
+        members[n, w] = True
+    frequency = members.sum(0)
     weights = np.log((1 + len(coded)) / (1 + frequency)) + 1
-    frame = items.sparkSession.createDataFrame(pd.DataFrame({"ids": ids.tolist()}), "ids array<long>").repartition(8)
-    words = randomised_svd(frame, weights, rank) * weights[:, None]
-    model = LatentModel(vocabulary, words, coded, window, at, np.zeros((0, 0)))
-    vectors = model.project(ids)
-    order = np.argsort(vectors[:, 0], kind="stable")
-    model.at, model.vectors = at[order], vectors[order]
+    latent = randomised_svd(texts.select("text"), vocabulary, search.window, weights, search.rank) * weights[:, None]
+    words = np.vstack([latent, np.zeros(latent.shape[1])]).astype(np.float32)
+    whole = [(n, w) for n, (_, w) in enumerate(coded) if len(w) >= search.window]
+    windows = np.concatenate([_windows_of(w, search.window) for _, w in whole]) if whole else np.zeros((0, search.window), np.int64)
+    at = np.array([(n, p) for n, w in whole for p in range(len(w) - search.window + 1)], np.int64).reshape(-1, 2)
+    pieces = [(n, _windows_of(w, search.span, max(1, search.span // 4))) for n, (_, w) in enumerate(coded)]
+    model = LatentModel(search, vocabulary, words, frequency <= max(1, np.median(frequency)), members, coded, windows, at, words[:0], np.repeat([n for n, _ in pieces], [len(p) for _, p in pieces]), words[:0])
+    model.window_vectors = model.project(windows)
+    model.stretch_vectors = model.project(np.concatenate([p for _, p in pieces]))
     return model
 
 
-def _candidates(model: LatentModel, query: np.ndarray, min_cosine: float, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query's number, item window's number) of all pairs of at least that cosine."""
-    radius = np.sqrt(max(0.0, 2 - 2 * min_cosine)) + 1e-9
-    first = model.vectors[:, 0]
-    low, high = np.searchsorted(first, query[:, 0] - radius), np.searchsorted(first, query[:, 0] + radius, side="right")
-    counts = high - low
-    ends = np.cumsum(counts)
-    at = 0
-    while at < len(query):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
-        n = counts[at:stop]
-        q = np.repeat(np.arange(at, stop), n)
-        w = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
-        near = np.square(query[q] - model.vectors[w]).sum(1) <= radius * radius
-        yield q[near], w[near]
-        at = stop
-
-
-def leaked_items(text: str | None, model: LatentModel, min_run: int, min_cosine: float = 1 - 1e-9) -> dict[int, int]:
-    """Item id -> words of the longest run, at least min_run, that text shares with the item's passage."""
-    words = words_of(text)
-    if len(words) < min_run:
-        return {}
-    get = model.vocabulary.get
-    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-    return _leaked(ids, model, min_run, min_cosine)
+def _near(query: np.ndarray, vectors: np.ndarray, min_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query's number, vector's number) of all pairs of at least that cosine, block by block."""
+    step = max(1, BLOCK // max(1, len(vectors)))
+    for at in range(0, len(query), step):
+        q, v = np.nonzero(query[at : at + step] @ vectors.T >= min_cosine)
+        yield q + at, v
 
 
-def _leaked(ids: np.ndarray, model: LatentModel, min_run: int, min_cosine: float) -> dict[int, int]:
-    # A word of no item has no latent vector, so a run ends there.
+def _runs(ids: np.ndarray, model: LatentModel) -> dict[int, int]:
+    """Item's place -> words of the longest run, at least min_run, that a text shares with the passage."""
+    search = model.search
+    # A word of no item ends a run.
     inside = ids >= 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, stops = edges[::2], edges[1::2]
-    long = stops - starts >= min_run
-    if not long.any():
+    long = stops - starts >= search.min_run
+    if not long.any() or not len(model.windows):
         return {}
-    stride = min_run - model.window + 1
-    places = np.concatenate([np.arange(a, b - model.window + 1, stride) for a, b in zip(starts[long].tolist(), stops[long].tolist())])
-    query = ids[places[:, None] + np.arange(model.window)]
+    stride = search.min_run - search.window + 1
+    places = np.concatenate([np.arange(a, b - search.window + 1, stride) for a, b in zip(starts[long].tolist(), stops[long].tolist())])
+    query = ids[places[:, None] + np.arange(search.window)]
     found: dict[int, int] = {}
-    for q, w in _candidates(model, model.project(query), min_cosine):
-        for k, (n, p) in zip(q.tolist(), model.at[w].tolist()):
-            item, passage = model.items[n]
-            at = int(places[k])
-            if not np.array_equal(passage[p : p + model.window], query[k]):
-                continue
+    for q, w in _near(model.project(query), model.window_vectors, search.copy_cosine):
+        same = (query[q] == model.windows[w]).all(1)
+        for at, (n, p) in zip(places[q[same]].tolist(), model.window_at[w[same]].tolist()):
+            passage = model.items[n][1]
             room = min(at, p)
             back = np.flatnonzero(ids[at - room : at][::-1] != passage[p - room : p][::-1])
             left = int(back[0]) if len(back) else room
             room = min(len(ids) - at, len(passage) - p)
             ahead = np.flatnonzero(ids[at : at + room] != passage[p : p + room])
             run = left + (int(ahead[0]) if len(ahead) else room)
-            if run >= min_run and run > found.get(item, 0):
-                found[item] = run
+            if run >= search.min_run and run > found.get(n, 0):
+                found[n] = run
     return found
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", min_run: int = 12, window: int = 6, rank: int = 32
-) -> DataFrame:
-    """(item_id, doc_id, run): documents that hold at least min_run consecutive words of an item's passage.
-
-    run is the longest such run. Null and empty texts hold nothing; items shorter than min_run words can't be
-    found. Repeated documents give repeated rows; extra columns are ignored; without items or documents there
-    are no rows. Texts are read whole. Map-only over the corpus: the items, of bounded number, are broadcast.
-    """
-    if window > min_run:
-        raise ValueError("a window must not be longer than a run")
-    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("run", T.IntegerType())])
-    model = fit(items, item_col, passage_col, window, rank)
-    if model is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            rows, found, runs = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for item, length in sorted(leaked_items(text, own, min_run).items()):
-                    rows.append(i)
-                    found.append(item)
-                    runs.append(length)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(runs, pa.int32())], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, one vectorised row at a time."""
     row = np.zeros(len(b) + 1, np.int64)
@@ -201,72 +198,61 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1]) if len(b) else 0
 
 
-def find_paraphrases(
-    docs: DataFrame,
-    items: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    item_col: str = "item_id",
-    passage_col: str = "passage",
-    span: int = 48,
-    rank: int = 32,
-    min_cosine: float = 0.6,
-    min_common: float = 0.5,
-    min_answers: float = 0.5,
-) -> DataFrame:
-    """(item_id, doc_id, common): documents with a stretch that tells an item's passage, perhaps reworded.
-
-    Stretches of span words that the items know, half overlapping (a shorter text is one stretch), are compared with all passages by cosine
-    in the latent space; of the near ones, at least min_common of the stretch must be a common subsequence
-    with the passage, and at least min_answers of the stretch's numbers and rare words (idf above the
-    median) must occur in it. common is the best such share, rounded to 4 digits. Nulls, empty tables,
-    repeated rows and extra columns as in find_leaks.
+def _rewordings(ids: np.ndarray, model: LatentModel) -> dict[int, tuple[float, float]]:
+    """Item's place -> (common, answers) of the stretch of a text that tells most of the passage."""
+    search = model.search
+    pieces = _windows_of(ids, search.span, max(1, search.span // 2))
+    wide = min(search.span, len(ids))
+    pieces = pieces[(pieces >= 0).sum(1) >= search.min_common * wide]
+    best: dict[int, tuple[float, float]] = {}
+    if not len(pieces):
+        return best
+    for q, v in _near(model.project(pieces), model.stretch_vectors, search.stretch_cosine):
+        pairs = np.unique(q * len(model.items) + model.stretch_item[v])
+        for piece, n in zip((pairs // len(model.items)).tolist(), (pairs % len(model.items)).tolist()):
+            part = pieces[piece]
+            part = part[part >= 0]
+            telling = part[model.telling[part]]
+            answers = float(model.members[n][telling].mean()) if len(telling) else 0.0
+            if answers >= search.min_answers and model.members[n][part].sum() >= search.min_common * wide:
+                common = common_subsequence(model.items[n][1], part) / wide
+                if common >= search.min_common and (common, answers) > best.get(n, (0.0, 0.0)):
+                    best[n] = (common, answers)
+    return best
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", search: Search = Search()) -> DataFrame:
+    """(item_id, doc_id, run, common, answers): documents that hold an item's passage, fully or partly, copied or reworded.
+
+    run is the longest run of consecutive words shared, 0 if shorter than min_run; common and answers (see Search)
+    are those of the best stretch, rounded to 4 digits, 0 if none reaches both bounds; a row has one or the other.
+    Null and empty texts hold nothing. Repeated documents give repeated rows; extra columns are ignored; without
+    items or documents there are no rows. Texts are read whole. Map-only over the corpus: the items, of bounded
+    size, are broadcast.
     """
-    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("common", T.DoubleType())])
-    model = fit(items, item_col, passage_col, 6, rank)
+    schema = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("run", T.IntegerType()), T.StructField("common", T.DoubleType()), T.StructField("answers", T.DoubleType())])
+    model = fit(items, item_col, passage_col, search)
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.square(v).sum(-1, keepdims=True))
-        return v / np.where(norm > 1e-12, norm, 1.0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        whole = unit(np.stack([own.words[w].sum(0) for _, w in own.items]))
-        count = np.bincount(np.concatenate([np.unique(w) for _, w in own.items]), minlength=len(own.words))
-        rare = count <= max(1, np.median(count))
-        members = [np.isin(np.arange(len(own.words)), w) for _, w in own.items]
         for batch in batches:
-            rows, found, shares = [], [], []
+            rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.fromiter((own.vocabulary.get(w, -1) for w in words_of(text)), np.int64)
-                if not len(ids):
+                words = words_of(text)
+                if not words:
                     continue
-                wide = min(span, len(ids))  # a text shorter than span is one stretch
-                half = max(1, wide // 2)
-                known = np.flatnonzero(ids >= 0)
-                dense = known[: len(known) - half + 1][known[half - 1 :] - known[: len(known) - half + 1] < wide] if len(known) >= half else known[:0]
-                best: dict[int, float] = {}
-                for a in np.unique(dense // half).tolist() if len(ids) >= span else [0]:
-                    part = ids[a * half : a * half + wide]
-                    part = part[part >= 0]
-                    if len(part) < half:
-                        continue
-                    near = np.flatnonzero(whole @ unit(own.words[part].sum(0)) >= min_cosine)
-                    key = part[rare[part]]
-                    for n in near.tolist():
-                        if len(key) and members[n][key].mean() < min_answers:
-                            continue
-                        share = common_subsequence(own.items[n][1], part) / len(part)
-                        if share >= min_common:
-                            item = own.items[n][0]
-                            best[item] = max(best.get(item, 0.0), round(share, 4))
-                for item in sorted(best):
+                get = own.vocabulary.get
+                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+                runs, told = _runs(ids, own), _rewordings(ids, own)
+                for n in sorted(runs.keys() | told.keys()):
                     rows.append(i)
-                    found.append(item)
-                    shares.append(best[item])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(shares, pa.float64())], names=schema.names)
+                    out.append((own.items[n][0], runs.get(n, 0), *(round(x, 4) for x in told.get(n, (0.0, 0.0)))))
+            found, lengths, common, answers = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lengths, pa.int32()), pa.array(common, pa.float64()), pa.array(answers, pa.float64())], names=schema.names
+            )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -105,13 +105,17 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak_search.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    return found.select(F.col("item_id").cast("int").alias("item_id"), "doc_id")
+    return found.withColumn("item_id", F.col("item_id").cast("int"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).filter("run > 0").select("item_id", "doc_id")
 
 
 def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leak_search.find_paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return _leaks(spark, sf_dir).filter("common > 0").select("item_id", "doc_id", "common", "answers")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
