@@ -1,19 +1,22 @@
 """Strict records against a character-wise reader, layouts of printed pages, coercion."""
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tillweave.config.errors import ExtractionError
+from tillweave.config.errors import ExtractionError, InputError
 from tillweave.config.profile import find_profile
 from tillweave.functions import columns as C
 from tillweave.operators import integrity
 from tillweave.sources import layout as L
 from tillweave.sources import strict_records as S
+from tillweave.sources.csv_files import read_export, read_text_frame
+from tillweave.sources.quoted_scan import scan_records
 
 
 def reference_fields(raw):
@@ -54,7 +57,7 @@ def test_split_record(raw):
 @pytest.mark.parametrize(
     "text, value",
     [("5", "5"), (" -1.50 ", "-1.50"), ("(2.5)", "-2.5"), ("(-2)", "2"), ("+3", "3"), ("1 234.5", "1234.5"), (".5", "0.5"), ("7.", "7"), ("", None), (" - ", None)]
-    + [(x, "bad") for x in ("--1", "1,000", "1e3", "NaN", "inf", "0x1F", "1.234", "5-", "(5", "1.2.3", "−5", "٣", ".", "9" * 17)],
+    + [(x, "bad") for x in ("--1", "1,000", "1e3", "NaN", "inf", "0x1F", "1.234", "5-", "(5", "1.2.3", "−5", "٣", ".")],
 )
 def test_money(text, value, spark):
     if value == "bad":
@@ -89,11 +92,51 @@ def test_records(spark):
     assert S.parse_records(df.limit(0)).count() == 0
 
 
-def test_assembly_of_physical_lines(spark):
-    content = HEAD + "\n" + record(description='"two\nlines"') + "\n" + record(description='bare "quote" inside') + "\n" + record(description='"never ends')
-    got = S.records_of_text(spark.createDataFrame([("f", content), ("g", None)], "source_file string, content string")).filter("source_file = 'f'").orderBy("line_no").collect()
-    assert [r.line_no for r in got] == [1, 2, 4, 5]
-    assert [S.parse_record(r.raw, S.ExportLayout())[0] for r in got[1:]] == [None, None, "quoting"]
+def test_numbers_of_any_length_parse(spark):
+    rows = [(1, "f", 2, record(amount="9" * 17)), (2, "f", 3, record(amount="9" * 40))]
+    parsed = {r.line_id: (r.reason, r.amount) for r in S.parse_records(spark.createDataFrame(rows, "line_id long, source_file string, line_no int, raw string")).collect()}
+    assert parsed == {1: (None, Decimal("9" * 17)), 2: (None, None)}
+
+
+FIELD = st.one_of(st.text(alphabet='a", \r', max_size=6).filter(lambda t: not t.startswith('"') and "," not in t), st.text(alphabet='a,\n" \r', max_size=8).map(lambda t: '"' + t.replace('"', '""') + '"'))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(FIELD, min_size=1, max_size=3).map(",".join).filter(lambda r: r not in ("", "\r")), min_size=1, max_size=30), st.sampled_from([7, 23, 1 << 20]), st.booleans())
+def test_records_are_those_of_the_whole_file_wherever_it_is_split(spark, tmp_path, records, split, gaps):
+    path = tmp_path / f"{uuid.uuid4().hex}.csv"
+    path.write_bytes(("\n\n" if gaps else "\n").join(records).encode())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for key, value in zip(keys, (split, 1)):
+        spark.conf.set(key, value)
+    try:
+        got = sorted((r.record, r.raw, r.source_file) for r in scan_records(spark, str(path)).collect())
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == [(i, r, path.name) for i, r in enumerate(records, 1)]
+
+
+def test_records_of_files(spark, tmp_path):
+    content = HEAD + "\n" + record(description='"two\nlines"') + "\n\n" + record(description='bare "quote" inside') + "\n" + record(description='"never ends') + "\nmore"
+    (tmp_path / "f.csv").write_text(content)
+    (tmp_path / "g.csv").write_text("")
+    got = S.read_records(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_id, r.line_no, r.source_file) for r in got] == [(1, 1, "f.csv"), (2, 2, "f.csv"), (3, 5, "f.csv"), (4, 6, "f.csv")]
+    parsed = S.parse_records(S.read_records(spark, str(tmp_path)))
+    assert {r.line_id: r.reason for r in parsed.collect()} == {2: None, 3: None, 4: "quoting"}
+
+
+def test_text_frames_of_ragged_files(spark, tmp_path):
+    """Short rows are filled with blanks, surplus cells go, empty lines have no place; columns may be asked for."""
+    (tmp_path / "r.csv").write_text('\ufeffa,b,c\n1\n\n"x\ny",2,3,4\n,,\n \n', encoding="utf-8")
+    frame = read_text_frame(spark, str(tmp_path / "r.csv"), ["a", "c"])
+    assert [tuple(r) for r in frame.orderBy("ord").collect()] == [("1", "", "", 0), ("x\ny", "2", "3", 1), ("", "", "", 2), (" ", "", "", 3)]
+    with pytest.raises(InputError, match="d"):
+        read_text_frame(spark, str(tmp_path / "r.csv"), ["a", "d"])
+    (tmp_path / "e.csv").write_text("")
+    with pytest.raises(ExtractionError, match="header"):
+        read_export(spark, str(tmp_path / "e.csv"), find_profile("revolut_current"))
 
 
 X = {"date": 40, "description": 110, "out": 340, "in": 420, "balance": 500}

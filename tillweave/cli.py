@@ -67,7 +67,7 @@ def debug_layout(args: argparse.Namespace) -> str:
 
 
 def _text_frame(path: str, *required: str) -> DataFrame:
-    return csv_files.with_order(csv_files.read_text_frame(_spark(), path, required))
+    return csv_files.read_text_frame(_spark(), path, required)
 
 
 def _amounts(text: DataFrame) -> DataFrame:

@@ -35,11 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one machine) is a
-    temporary folder set.
+    The cluster names it in spark.checkpoint.dir. Only in a session on one machine may that be unset: then a
+    temporary folder is set. Elsewhere each executor would write to a disk of its own, so that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tillweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

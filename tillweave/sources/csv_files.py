@@ -12,42 +12,51 @@ from pyspark.sql import types as T
 from tillweave.config.errors import ExtractionError, InputError
 from tillweave.config.profile import Profile
 from tillweave.functions.columns import MONEY, parse_date, parse_flag, parse_money
-from tillweave.operators.numbering import numbered
+from tillweave.sources.quoted_scan import first_record, scan_records
 
 LEDGER = ("date", "description", "amount", "balance", "currency", "account", "source_file", "page", "row")
 CHART_COLUMNS = ("date", "description", "amount", "balance", "account", "category", "subcategory", "is_transfer")
 CATEGORISE_COLUMNS = ("description", "account", "amount")
 
 
-def _reader(spark: SparkSession, delimiter: str, encoding: str):
-    return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("inferSchema", False)
+def header_of(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> list[str]:
+    """The column names of a file; none where it is empty."""
+    import csv
 
+    first = first_record(spark, path, delimiter, encoding)
+    return [] if first is None else next(csv.reader([first.removeprefix("\ufeff").rstrip("\r")], delimiter=delimiter), [])
 
-def read_text_frame(spark: SparkSession, path: str, required: Sequence[str] = (), delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """All cells as text, absent ones as blank text; InputError names missing columns."""
-    df = _reader(spark, delimiter, encoding).csv(path)
-    if missing := [c for c in required if c not in df.columns]:
-        raise InputError(f"missing column(s): {', '.join(missing)}")
-    return df.na.fill("")
 
+def _cells(spark: SparkSession, path: str, names: Sequence[str], delimiter: str, encoding: str) -> DataFrame:
+    """(source_file, record, cells): the records behind the header, cells by place; short records have null cells, surplus ones are dropped."""
+    records = scan_records(spark, path, delimiter, encoding).filter("record > 1")
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "maxCharsPerColumn": "-1"}
+    return records.select("source_file", "record", F.from_csv(F.regexp_replace("raw", "\r$", ""), schema, options).alias("cells"))
 
-def with_order(df: DataFrame) -> DataFrame:
-    """df with ord, the place of each row in its file: partitions of a file are read in order."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
+
+def read_text_frame(spark: SparkSession, path: str, required: Sequence[str] = (), delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
+    """All cells as text, absent ones as blank text, beside ord, the place of the row; InputError names missing columns."""
+    names = header_of(spark, path, delimiter, encoding)
+    if missing := [c for c in required if c not in names]:
+        raise InputError(f"missing column(s): {', '.join(missing)}")
+    cell = {n: F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)}
+    return _cells(spark, path, names, delimiter, encoding).select(*cell.values(), (F.col("record") - 2).alias("ord"))
 
 
 def read_export(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
     """Raw text rows of one export: the mapped columns by field, row numbered from 1, no page."""
     if profile.source != "csv":
         raise ExtractionError("the profile is not for delimited files")
-    df = _reader(spark, profile.delimiter, profile.encoding).csv(path)
-    if not df.columns:
+    names = header_of(spark, path, profile.delimiter, profile.encoding)
+    if not names:
         raise ExtractionError("the file has no header")
-    if lost := sorted(set(profile.column_map) - set(df.columns)):
+    if lost := sorted(set(profile.column_map) - set(names)):
         raise ExtractionError(f"the header lacks {', '.join(lost)}")
-    fields = [F.coalesce(F.col(f"`{source}`"), F.lit("")).alias(field) for source, field in profile.column_map.items()]
-    named = df.select(*fields, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.monotonically_increasing_id().alias("_place"))
-    return numbered(named, ["_place"], "row", 1).withColumn("row", F.col("row").cast("int")).withColumn("page", F.lit(None).cast("int")).drop("_place")
+    place = {n: i for i, n in enumerate(names)}
+    fields = [F.coalesce(F.col(f"cells.c{place[source]}"), F.lit("")).alias(field) for source, field in profile.column_map.items()]
+    rows = _cells(spark, path, names, profile.delimiter, profile.encoding)
+    return rows.select(*fields, "source_file", (F.col("record") - 1).cast("int").alias("row"), F.lit(None).cast("int").alias("page"))
 
 
 def union_in_order(frames: list[DataFrame]) -> DataFrame:

@@ -10,16 +10,18 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillweave.sources.quoted_scan import scan_records
+
 QUOTING, COLUMN_COUNT, BAD_DATE, BAD_AMOUNT, BAD_BALANCE = "quoting", "column_count", "bad_date", "bad_amount", "bad_balance"
 
 _STAMP = re.compile(r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", re.ASCII)
@@ -62,8 +64,6 @@ def money(text: str) -> Decimal | None:
     if not _NUMBER.fullmatch(s):
         raise FieldError
     value = Decimal(s if s[-1] != "." else s[:-1])
-    if len(value.as_tuple().digits) + value.as_tuple().exponent > 16:
-        raise FieldError
     return -value if negative != (sign == "-") else value
 
 
@@ -127,47 +127,6 @@ def parse_record(raw: str, layout: ExportLayout) -> tuple[str | None, list[str]
     return None, fields, date, amount, balance
 
 
-def assemble(lines: Iterable[str], quote: str = '"') -> Iterator[tuple[int, str]]:
-    """(number of the first line, record) from physical lines: a quoted field may go on over line breaks.
-
-    A line belongs to the record above while that one has an open quoted field. A field opens only where it
-    begins with the quote, so quotes inside a bare field open nothing.
-    """
-    start, held, inside = 1, "", False
-    for number, line in enumerate(lines, 1):
-        if not inside:
-            start, held = number, line
-            inside = _open(line, False, quote)
-        else:
-            held += "\n" + line
-            inside = _open(line, True, quote)
-        if not inside:
-            yield start, held
-    if inside:
-        yield start, held
-
-
-def _open(line: str, inside: bool, quote: str) -> bool:
-    at, fresh = 0, not inside
-    while at < len(line):
-        if inside:
-            close = line.find(quote, at)
-            if close < 0:
-                return True
-            if line[close + 1 : close + 2] == quote:
-                at = close + 2
-                continue
-            inside, fresh, at = False, False, close + 1
-        elif fresh and line[at] == quote:
-            inside, at = True, at + 1
-        else:
-            comma = line.find(",", at)
-            if comma < 0:
-                return False
-            fresh, at = True, comma + 1
-    return inside
-
-
 PARSED = T.StructType(
     [
         T.StructField("line_id", T.LongType()),
@@ -176,21 +135,30 @@ PARSED = T.StructType(
         T.StructField("row", T.IntegerType()),
         T.StructField("date", T.DateType()),
         T.StructField("description", T.StringType()),
-        T.StructField("amount", T.DecimalType(18, 2)),
-        T.StructField("balance", T.DecimalType(18, 2)),
+        T.StructField("amount", T.DecimalType(38, 2)),
+        T.StructField("balance", T.DecimalType(38, 2)),
         T.StructField("currency", T.StringType()),
     ]
 )
 
 
+#: Digits that an amount may have for its type to hold it.
+DIGITS = 38
+
+
+def _fitting(value: Decimal | None) -> Decimal | None:
+    return value if value is None or len(str(abs(int(value)))) <= DIGITS - 2 else None
+
+
 def parse_records(lines: DataFrame, layout: ExportLayout = ExportLayout()) -> DataFrame:
     """One row per record of lines (line_id, source_file, line_no, raw): its reason, or its typed fields.
 
     Headers (line_no 1) and empty records (null or without any character but a carriage return) are no
     records. A null line_no is taken as a record. Extra columns are ignored, repeated rows stay repeated, an
-    empty table gives an empty table, texts of any length are parsed whole. Map-only: nothing is shuffled.
+    empty table gives an empty table, texts of any length are parsed whole. A number of more than 36 digits before
+    the point is a number, so its record parses, but no type holds it: its cell is null. Map-only: nothing is shuffled.
     """
-    arrow = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.date32(), pa.string(), pa.decimal128(18, 2), pa.decimal128(18, 2), pa.string()]
+    arrow = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.date32(), pa.string(), pa.decimal128(38, 2), pa.decimal128(38, 2), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
@@ -199,7 +167,7 @@ def parse_records(lines: DataFrame, layout: ExportLayout = ExportLayout()) -> Da
             out: list[list] = [[] for _ in arrow]
             for line_id, file, number, raw in zip(ids, files, numbers, raws):
                 reason, fields, date, amount, balance = parse_record(raw, layout)
-                row = (line_id, reason, file, number and number - 1, date and date.date(), fields and fields[layout.description].strip(), amount, balance, (fields and fields[layout.currency].strip()) or None)
+                row = (line_id, reason, file, number and number - 1, date and date.date(), fields and fields[layout.description].strip(), _fitting(amount), _fitting(balance), (fields and fields[layout.currency].strip()) or None)
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow)], names=PARSED.names)
@@ -220,21 +188,10 @@ def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNull()).drop("reason")
 
 
-def records_of_text(files: DataFrame) -> DataFrame:
-    """Records of whole files (source_file, content): quote-aware assembly of physical lines.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of text files in the columns parse_records() takes: assembled over line breaks, files split at will.
 
-    Gives the columns parse_records takes; line_no is that of the record's first line. A file is one row, so
-    files larger than a task should be split by their writer.
+    line_no is that of the record's first line, line_id the number of the record in its file.
     """
-    schema = "line_id long, source_file string, line_no int, raw string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(assemble((content or "").split("\n")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n for n, _ in rows], pa.int64()), pa.array([file] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.string())],
-                    names=["line_id", "source_file", "line_no", "raw"],
-                )
-
-    return files.select(F.col("source_file").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+    found = scan_records(spark, path)
+    return found.select(F.col("record").alias("line_id"), "source_file", F.col("line").cast("int").alias("line_no"), "raw")
