@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tillweave.config.errors import ExtractionError, InputError
+from tillweave.config.errors import ExtractionError, InputError, ProfileError
 from tillweave.config.profile import find_profile
 from tillweave.functions import columns as C
 from tillweave.operators import integrity
@@ -199,6 +199,37 @@ def test_header_must_be_there(spark):
     L.check_layout(spark.createDataFrame(words([[{"description": "X"}]]), WORDS), BOI)
 
 
+def test_strategies_and_extractors_can_be_added(spark, tmp_path):
+    """A new alignment, end of table and merging by name, and pages read from files by an extractor."""
+    from tillweave.config.profile import parse_profile
+    from tillweave.config.strategies import ALIGNS, EXTRACTORS, MULTILINES, TABLE_ENDS
+    from tillweave.sources.csv_files import read_words
+
+    spec = lambda: {
+        "meta": {"name": "own", "institution": "O", "country": "IE", "source": "pdf"}, "page_detect": {}, "balance": {}, "rows": {"multiline": "reversed"}, "table_end": {"strategy": "third_line"},
+        "columns": [{"header": "When", "field": "date", "align": "left_edge"}, {"header": "What", "field": "description", "align": "quarter"}, {"header": "Sum", "field": "amount", "align": "right_edge"}],
+    }
+    with pytest.raises(ProfileError):
+        parse_profile(spec())
+    try:
+        ALIGNS.add("quarter")(lambda left, right: left.x1 + (right.x0 - left.x1) / 4)
+        TABLE_ENDS.add("third_line")(lambda page: sorted(page.lines)[3])
+        MULTILINES.add("reversed")(lambda lines: lines[::-1])
+        EXTRACTORS.add("pgs")(lambda content: [(1, 300.0, 400.0, i, *w) for i, w in enumerate(eval(content))])
+        page = [("When", 10.0, 30.0, 5.0), ("What", 70.0, 90.0, 5.0), ("Sum", 150.0, 170.0, 5.0)]
+        page += [(t, x, x + 4, y) for y, row in ((20.0, ("1", "a", "5")), (30.0, ("2", "b", "6")), (40.0, ("3", "c", "7"))) for t, x in zip(row, (12.0, 45.0, 180.0))]
+        (tmp_path / "x.pgs").write_text(repr(page))
+        words = read_words(spark, str(tmp_path / "x.pgs"))
+        profile = parse_profile(spec())
+        assert [tuple(b) for b in L.column_bounds(words, profile).first().bounds] == [("date", 0.0, 40.0), ("description", 40.0, 170.0), ("amount", 170.0, 300.0)]
+        assert [(r.date, r.description, r.amount, r.row, r.source_file) for r in L.raw_rows(words, profile).orderBy("row").collect()] == [("2", "b", "6", 1, "x.pgs"), ("1", "a", "5", 2, "x.pgs")]
+        with pytest.raises(ValueError):
+            ALIGNS.add("quarter")(len)
+    finally:
+        for registry, name in ((ALIGNS, "quarter"), (TABLE_ENDS, "third_line"), (MULTILINES, "reversed"), (EXTRACTORS, "pgs")):
+            registry.pop(name, None)
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("a.b a.b axb",), (None,), ("A.B",)], "text string")
     count = lambda **k: {r.term: (r.hits, r.texts) for r in L.term_counts(df, ["a.b", "q\\E"], **k).collect()}

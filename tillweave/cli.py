@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillweave.config.errors import BalanceContinuityError, CoercionError, EngineError, InputError, ProfileError
 from tillweave.config.profile import find_profile
 from tillweave.config.rules import chain, read_rules, to_yaml
+from tillweave.config.strategies import BALANCE_CHECKS
 from tillweave.functions.columns import flag_text, in_range, parse_money
 from tillweave.operators import categorise as K
 from tillweave.operators import flows, integrity, reports
@@ -44,7 +45,7 @@ def parse(args: argparse.Namespace) -> str:
     if bad := rows.filter("_bad").count():
         raise CoercionError(f"{bad} row(s) hold a date or amount that can't be read")
     rows = rows.drop("_bad")
-    if profile.check_balance == "continuity":
+    if BALANCE_CHECKS[profile.check_balance]():
         first = integrity.balance_violations(rows).orderBy("ord").select("source_file", "row", "page").first()
         if first:
             raise BalanceContinuityError(f"balance does not follow in {first.source_file}, row {first.row}" + (f", page {first.page}" if first.page else ""))

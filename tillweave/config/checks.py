@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,7 +13,7 @@ class Key:
 
     default: Any = None
     required: bool = False
-    choices: tuple = ()
+    choices: Collection = ()
     kind: type | tuple | None = None
     test: Callable[[Any], bool] | None = None
     problem: str = "is not valid"
@@ -34,7 +34,7 @@ def check_mapping(raw: Any, keys: dict[str, Key], where: str, error: type[Except
             out[name] = spec.default
             continue
         value = raw[name]
-        if spec.choices and value not in spec.choices:
+        if spec.choices and not (isinstance(value, str) and value in spec.choices):
             raise error(f"{where}.{name} must be one of {', '.join(map(str, spec.choices))}")
         if spec.kind and not isinstance(value, spec.kind):
             raise error(f"{where}.{name} {spec.problem}")

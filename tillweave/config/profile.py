@@ -10,20 +10,16 @@ import yaml
 
 from tillweave.config.checks import Key, check_mapping
 from tillweave.config.errors import ProfileError
+from tillweave.config.strategies import ALIGNS, AMOUNT_STYLES, BALANCE_CHECKS, DATE_FILLS, MULTILINES, PAGE_DETECTS, TABLE_ENDS
+from tillweave.functions import coercions  # noqa: F401  (registers the strategies of columns)
+from tillweave.sources import page_table  # noqa: F401  (registers those of pages)
 
-#: The fields a source column may be mapped to, and the names of strategies.
+#: The fields a source column may be mapped to.
 FIELDS = ("date", "description", "amount", "in", "out", "balance", "currency")
-ALIGNS = ("left_edge", "midpoint", "right_edge")
-TABLE_ENDS = ("spacing_gap", "footer_text", "page_bottom")
-MULTILINES = ("merge_into_previous", "none")
-DATE_FILLS = ("forward", "none")
-AMOUNT_STYLES = ("in_out", "signed")
-BALANCE_CHECKS = ("continuity", "none")
-
 _FIELD = Key(required=True, choices=FIELDS)
 SPECS: dict[str, dict[str, Key]] = {
     "meta": {"name": Key(required=True), "institution": Key(required=True), "country": Key(required=True), "source": Key(required=True, choices=("pdf", "csv"))},
-    "page_detect": {"strategy": Key("header_match", choices=("header_match",))},
+    "page_detect": {"strategy": Key("header_match", choices=PAGE_DETECTS)},
     "columns": {"header": Key(required=True), "field": _FIELD, "align": Key(required=True, choices=ALIGNS)},
     "table_end": {"strategy": Key("spacing_gap", choices=TABLE_ENDS), "text": Key()},
     "rows": {"line_tolerance": Key(3), "multiline": Key("merge_into_previous", choices=MULTILINES)},
@@ -54,6 +50,7 @@ class Profile:
     institution: str = ""
     country: str = ""
     columns: tuple[Column, ...] = ()
+    page_detect: str = "header_match"
     table_end: str = "spacing_gap"
     footer: str | None = None
     line_tolerance: float = 3
@@ -114,6 +111,7 @@ def parse_profile(raw: Any) -> Profile:
         meta["institution"],
         meta["country"],
         tuple(Column(**c) for c in got.get("columns", ())),
+        got.get("page_detect", {}).get("strategy", "header_match"),
         end.get("strategy", "spacing_gap"),
         end.get("text"),
         got.get("rows", {}).get("line_tolerance", 3),
@@ -136,7 +134,7 @@ def parse_profile(raw: Any) -> Profile:
 
 def _consistent(p: Profile) -> None:
     have = p.fields
-    money = {"in", "out"} if p.style == "in_out" else {"amount"}
+    money = set(AMOUNT_STYLES[p.style].fields)
     needed = {"date", "description"} | money
     if lacking := sorted(needed - have):
         raise ProfileError(f"no column is mapped to {', '.join(lacking)} (amounts.style {p.style})")

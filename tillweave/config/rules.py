@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from re import _parser
 from typing import Any
 
+import pyarrow as pa
 import yaml
+from pyspark.sql import DataFrame
 
 from tillweave.config.checks import Key, check_mapping
 from tillweave.config.errors import RuleError
@@ -105,6 +108,27 @@ def parse_rule(raw: Any, position: int, source: str) -> Rule:
     return rule
 
 
+def valid_rules(rules: DataFrame) -> DataFrame:
+    """rules, a table of them, with valid: whether each passes parse_rule(). A blank or null option counts as absent."""
+    names = [n for n in SPEC if n in rules.columns]
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in rules.dtypes) + ", valid boolean"
+
+    def passes(raw: dict) -> bool:
+        try:
+            parse_rule({k: v for k, v in raw.items() if v is not None and not (k == "extract" and v == "")}, 0, "rules")
+        except RuleError:
+            return False
+        return True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in names))
+            valid = pa.array([passes(dict(zip(names, row))) for row in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, valid], names=[*batch.schema.names, "valid"])
+
+    return rules.mapInArrow(run, schema)
+
+
 def read_rules(path: str | Path) -> list[Rule]:
     """The rules of a YAML file in order; an empty file has none."""
     path = Path(path)

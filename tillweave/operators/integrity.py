@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.config.profile import Profile
+from tillweave.config.strategies import AMOUNT_STYLES, DATE_FILLS
 from tillweave.functions.columns import MONEY, date_is_bad, money_is_bad, parse_date, parse_money
 
 TOLERANCE = "0.01"
@@ -18,7 +19,7 @@ def _file(*order: str):
 
 def date_forward(date: Column | str, order: str = "row") -> Column:
     """The last date at or before a row of its file; leading blanks stay null."""
-    return F.last(date, ignorenulls=True).over(_file(order).rowsBetween(Window.unboundedPreceding, 0))
+    return DATE_FILLS["forward"](date, order)
 
 
 def balance_forward(rows: DataFrame, order: str = "row") -> DataFrame:
@@ -46,11 +47,8 @@ def coerce(raw: DataFrame, profile: Profile) -> DataFrame:
     bad = date_is_bad(text["date"], profile.date_format)
     for f in numeric:
         bad = bad | bad_number(f)
-    if profile.style == "in_out":
-        amount = F.coalesce(number("in"), F.lit(0)) - F.coalesce(number("out"), F.lit(0))
-    else:
-        amount = number("amount")
-        bad = bad | amount.isNull()
+    amount, lacking = AMOUNT_STYLES[profile.style](number)
+    bad = bad | lacking
     date = parse_date(text["date"], profile.date_format)
     skipped = F.lit(False)
     for f, value in profile.skip:
@@ -68,8 +66,7 @@ def coerce(raw: DataFrame, profile: Profile) -> DataFrame:
         bad.alias("_bad"),
         skipped.alias("_skip"),
     )
-    if profile.date_fill == "forward":
-        typed = typed.withColumn("date", date_forward("date"))
+    typed = typed.withColumn("date", DATE_FILLS[profile.date_fill]("date", "row"))
     if profile.has_balance:
         typed = balance_forward(typed)
     return typed.filter(~F.col("_skip")).drop("_skip")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tillweave.operators.dyadic import periods_and_gaps
 from tillweave.plans.registry import query
-from tillweave.session import table
-from tillweave.sources.strict_records import accepted, parse_records, rejected
+from tillweave.session import shared_dir, table
+from tillweave.sources.strict_records import accepted, parse_records, read_records, rejected
 
 
 # The grammar of a record as patterns: fields, then typed cells, in the order of the reasons.
@@ -42,11 +42,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected(parse_records(table(spark, sf_dir, "raw_lines")))
 
 
-@query("p2_canonical")
+def _number(c: str) -> str:
+    bare = f"replace(case when trim({c}) like '(%)' then trim(substr(trim({c}), 2, length(trim({c})) - 2)) else trim({c}) end, ' ', '')"
+    value = f"try_cast(regexp_replace({bare}, '^\\+', '') as decimal(38,2))"
+    return f"case when trim({c}) like '(%)' then -{value} else {value} end"
+
+
+_P2_CANONICAL = f"""
+, t as (select line_id, source_file, line_no, regexp_replace(raw, '\\r$', '') raw from raw_lines where line_id in (select line_id from f where reason is null)),
+v as (select *, {_cell(2)} d, {_cell(4)} told, {_cell(5)} a, {_cell(7)} cur, {_cell(9)} l from t)
+select line_id, source_file, (line_no - 1)::int as "row", case when trim(d) <> '' then strptime(trim(d), '%Y-%m-%d %H:%M:%S')::date end as date, regexp_replace(told, '^\\s+|\\s+$', '', 'g') as description,
+  {_number("a")} as amount, {_number("l")} as balance, nullif(regexp_replace(cur, '^\\s+|\\s+$', '', 'g'), '') as currency from v
+"""
+
+
+@query("p2_canonical", _P2_REASONS + _P2_CANONICAL)
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(parse_records(table(spark, sf_dir, "raw_lines")))
 
 
+@query("p2_from_files", _P2_REASONS + "select coalesce(reason, 'none') as reason, count(*) as records from f where reason is distinct from 'quoting' group by 1")
+def p2_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records written as a file and assembled again over their line breaks, all but those whose quotes never end."""
+    lines = table(spark, sf_dir, "raw_lines")
+    fine = parse_records(lines).filter("reason is distinct from 'quoting'").select("line_id")
+    path = shared_dir(spark, "file")
+    body = lines.join(fine, "line_id", "left_semi").select("line_id", F.col("raw").alias("line"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("line_id"), F.lit("header").alias("line"))
+    head.unionByName(body).repartition(1).sortWithinPartitions("line_id").select("line").write.mode("overwrite").option("lineSep", "\n").text(path)
+    return parse_records(read_records(spark, path)).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("records"))
+
+
 @query("p2_reasons", _P2_REASONS + "select reason, count(*) as records from f where reason is not null group by reason")
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("records"))

@@ -8,7 +8,6 @@ from tillweave.functions import columns as C
 from tillweave.operators import reports as R
 from tillweave.plans.ledger_views import FIRST, LAST, led, sql
 from tillweave.plans.registry import query
-from tillweave.session import table
 
 SPEND, INCOME = "not is_transfer and amount < 0", "not is_transfer and amount > 0"
 LABEL = "coalesce(nullif(trim(category), ''), '(uncategorised)')"
@@ -229,8 +228,3 @@ def tolerance_gate(spark, sf_dir):
     from tillweave.operators.categorise import gate
 
     return gate(led(spark, sf_dir), "100000")
-
-
-@query("migration_counts", "select account, coalesce(transfer, false) as transfer, count(*) as rules from rules group by 1, 2")
-def migration_counts(spark, sf_dir):
-    return table(spark, sf_dir, "rules").groupBy("account", F.coalesce("transfer", F.lit(False)).alias("transfer")).agg(F.count("*").alias("rules"))

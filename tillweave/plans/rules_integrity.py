@@ -62,7 +62,7 @@ def categorise_builtin(spark, sf_dir):
 
 
 @query("categorise_by_table", sql("""select l.ord, arg_min(r.rule_id, r.idx * 10000000000 + r.rule_id) as rule_id from led l join rules r on (r.account = 'any' or r.account = l.account) and r.pattern <> ''
-  and ((r.match = 'exact' and r.pattern = l.description) or (r.match = 'contains' and contains(l.description, r.pattern)) or (r.match = 'prefix' and starts_with(l.description, r.pattern))) group by l.ord"""))
+  and ((r.match = 'exact' and r.pattern = l.description) or (r.match = 'contains' and contains(l.description, r.pattern)) or (r.match = 'prefix' and starts_with(l.description, r.pattern)) or (r.match = 'regex' and regexp_matches(l.description, r.pattern))) group by l.ord"""))
 def categorise_by_table(spark, sf_dir):
     return K.categorise_by_table(led(spark, sf_dir), table(spark, sf_dir, "rules"))
 
@@ -161,9 +161,20 @@ def dedupe_keep_first(spark, sf_dir):
     return I.dedupe(led(spark, sf_dir)).select("ord", "date", "description", "amount", "balance", "account")
 
 
-@query("skip_rows", sql("select ord, description from led where not (description = 'Britiojol Nursery' or currency = 'GBP')"))
+_SKIPPING = parse_profile(
+    {
+        "meta": {"name": "skipping", "institution": "Skips", "country": "IE", "source": "csv"},
+        "csv": {"column_map": {"Date": "date", "Text": "description", "Amount": "amount", "Currency": "currency"}},
+        "amounts": {"thousands": ""},
+        "skip_rows": [{"field": "description", "equals": "Britiojol Nursery"}, {"field": "currency", "equals": "GBP"}],
+    }
+)
+
+
+@query("skip_rows", sql("select source_file, \"row\", trim(description) as description, date from led where not (description = 'Britiojol Nursery' or currency = 'GBP')"))
 def skip_rows(spark, sf_dir):
-    return led(spark, sf_dir).filter(~((F.col("description") == "Britiojol Nursery") | (F.col("currency") == "GBP"))).select("ord", "description")
+    text = led(spark, sf_dir).select("source_file", "page", "row", F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")).alias("date"), "description", F.col("amount").cast("string").alias("amount"), "currency")
+    return I.coerce(text, _SKIPPING).select("source_file", "row", "description", "date")
 
 
 _PER = "p as (select account, source_file, min(date) \"start\", max(date) \"end\", min(ord) first_ord from led where date is not null group by account, source_file)"

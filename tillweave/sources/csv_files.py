@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tillweave.config.errors import ExtractionError, InputError
 from tillweave.config.profile import Profile
+from tillweave.config.strategies import EXTRACTORS
 from tillweave.functions.columns import MONEY, parse_date, parse_flag, parse_money
 from tillweave.sources.quoted_scan import first_record, scan_records
 
@@ -116,6 +119,16 @@ def write_single_csv(df: DataFrame, path: str, order: Sequence[str | F.Column] =
             writer.writerow(["" if v is None else v for v in r])
 
 
+def write_csv(df: DataFrame, path: str, order: Sequence[str | F.Column] = ()) -> None:
+    """A folder of files, each with the header, in order from file to file: for results of any size.
+
+    Columns of the order that are no part of the result may be named ord; it is left out.
+    """
+    ordered = df.orderBy(*order) if order else df
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    ordered.select([c for c in df.columns if c != "ord"]).write.mode("overwrite").options(**options).csv(path)
+
+
 def write_ledger(rows: DataFrame, path: str) -> None:
     """The native form of a ledger: Parquet, by month, so that date ranges prune files."""
     rows.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("overwrite").partitionBy("month").parquet(path)
@@ -127,7 +140,22 @@ WORDS = T.StructType(
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """A word table from Parquet or CSV; page files need an extractor of the user's to make one."""
-    if path.endswith(".parquet"):
+    """A word table from Parquet or CSV, or from page files whose suffix has an extractor (see EXTRACTORS).
+
+    An extractor gets the bytes of one file, on a worker, and yields rows of the word table without source_file.
+    """
+    suffix = path.rpartition(".")[2].lower()
+    if suffix in EXTRACTORS:
+        extract = EXTRACTORS[suffix]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                    rows = [dict(zip(WORDS.names, (name, *row))) for row in extract(content)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(WORDS))
+
+        files = spark.read.format("binaryFile").load(path)
+        return files.select(F.element_at(F.split("path", "/"), -1), "content").mapInArrow(run, WORDS)
+    if suffix == "parquet":
         return spark.read.parquet(path).select(WORDS.names)
     return spark.read.schema(WORDS).option("header", True).csv(path)

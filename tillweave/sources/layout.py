@@ -1,141 +1,105 @@
 """Rows of a table printed on pages, from the page's words and their boxes.
 
 Input is a word table: source_file, page, page_width, page_height, flow_idx (order of the text flow), text,
-x0, x1, top. Words group into lines, the header line gives the columns' boundaries, words fall into columns
-by their middle, lines that only go on with a description join the row above. All steps are aggregates and
-windows over one page, so documents spread over the cluster page by page.
+x0, x1, top. The words of a page are gathered once, a page being bounded by its paper, and everything about it
+(header, columns, end of table, lines, rows) follows from them in one pass over Arrow batches. Documents spread over
+the cluster page by page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillweave.config.errors import ExtractionError
 from tillweave.config.profile import Profile
+from tillweave.config.strategies import ALIGNS, MULTILINES, PAGE_DETECTS, TABLE_ENDS
+from tillweave.sources.page_table import PageRules, PrintedPage, Word
 
 PAGE = ("source_file", "page")
-MARGIN = 10
-BELOW_HEADER = 5
-_FIELDS = ("date", "description", "amount", "in", "out", "balance", "currency")
 
 
-def _line_key(top: Column | str) -> Column:
-    return F.bround(top, 1)
+def page_rules(profile: Profile) -> PageRules:
+    return PageRules(
+        tuple((c.header, c.field, c.align) for c in profile.columns), profile.line_tolerance, profile.footer,
+        {a: ALIGNS[a] for a in {c.align for c in profile.columns}}, PAGE_DETECTS[profile.page_detect], TABLE_ENDS[profile.table_end], MULTILINES[profile.multiline],
+    )
 
 
-def by_page(words: DataFrame) -> DataFrame:
-    """words partitioned by page: the one exchange that all steps below share, as they group within pages."""
-    return words.repartition(*PAGE)
+def _by_page(words: DataFrame, profile: Profile, told: Callable[[PrintedPage], list[dict] | None], element: str) -> DataFrame:
+    """(source_file, page, told): what told says of each page, as an array of structs; pages of which it is None have no row."""
+    rules = page_rules(profile)
+    boxes = F.array_sort(F.collect_list(F.struct("flow_idx", "text", "x0", "x1", "top")))
+    pages = words.groupBy(*PAGE).agg(F.max("page_width").cast("double").alias("width"), F.max("page_height").cast("double").alias("height"), boxes.alias("words"))
+    schema = ", ".join(f"{n} {dict(words.dtypes)[n]}" for n in PAGE) + f", told array<struct<{element}>>"
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    told_type = pa.list_(pa.struct([(f.split(":")[0], types[f.split(":")[1]]) for f in element.split(",")]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, heights = (batch.column(c).to_pylist() for c in ("width", "height"))
+            lists = batch.column("words")
+            ends = lists.offsets.to_pylist()
+            flat = lists.flatten()
+            start = ends[0]
+            fields = [flat.field(i).to_pylist() for i in range(5)]
+            kept, out = [], []
+            for i, (width, height) in enumerate(zip(widths, heights)):
+                own = slice(ends[i] - start, ends[i + 1] - start)
+                page = PrintedPage([Word(*w) for w in zip(*(f[own] for f in fields))], width, height, rules)
+                found = told(page)
+                if found is not None:
+                    kept.append(i)
+                    out.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(pa.array(kept, pa.int64())) for n in PAGE), pa.array(out, told_type)], names=[*PAGE, "told"])
 
-def lines(words: DataFrame) -> DataFrame:
-    """Lines of each page by rounded height: text in flow order, and the first word's flow."""
-    cells = F.array_sort(F.collect_list(F.struct("flow_idx", "text")))
-    return words.groupBy(*PAGE, _line_key("top").alias("y")).agg(F.array_join(F.transform(cells, lambda w: w.text), " ").alias("line"), F.min("flow_idx").alias("first_flow"), F.min("top").alias("line_top"))
+    return pages.mapInArrow(run, schema)
 
 
-def header_lines(words: DataFrame, profile: Profile) -> DataFrame:
-    """The first line of each page, in flow order, that holds all headers; other pages have no table."""
-    holds = F.lit(True)
-    for c in profile.columns:
-        holds = holds & F.contains("line", F.lit(c.header))
-    best = lines(words).filter(holds).groupBy(*PAGE).agg(F.min_by("y", "first_flow").alias("y"))
-    across = F.array_sort(F.collect_list(F.struct("x0", "flow_idx", "text", "x1", "top")))
-    own = words.join(best, list(PAGE)).filter(_line_key("top") == F.col("y"))
-    return own.groupBy(*PAGE).agg(across.alias("words"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
+_BOX = "x0:double,field:string,align:string,x1:double,top:double"
 
 
 def header_blocks(words: DataFrame, profile: Profile) -> DataFrame:
-    """blocks: the boxes of the headers from left to right; header_top: that of the first one declared."""
-    boxes = []
-    for c in profile.columns:
-        parts = c.header.split()
-        k = len(parts)
-        wanted = F.array(*map(F.lit, parts))
-        run = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words") - k + 1, F.lit(1))), lambda i: F.slice(F.transform("words", lambda w: w.text), i, k) == wanted)
-        at = F.get(run, F.lit(0))
-        first, last = F.try_element_at("words", at), F.try_element_at("words", at + k - 1)
-        boxes.append(F.struct(first.x0.alias("x0"), F.lit(c.field).alias("field"), F.lit(c.align).alias("align"), last.x1.alias("x1"), first.top.alias("top")))
-    found = header_lines(words, profile).withColumn("_boxes", F.array(*boxes))
-    return found.select(*PAGE, "page_width", "page_height", F.get("_boxes", F.lit(0)).top.alias("header_top"), F.array_sort("_boxes").alias("blocks"))
+    """blocks: the boxes of the headers from left to right, nulls where one can't be placed on the header line."""
+
+    def told(page: PrintedPage) -> list[dict] | None:
+        if page.boxes is None:
+            return None
+        return sorted((vars(b) for b in page.boxes), key=lambda b: (b["x0"] is not None, b["x0"] or 0, b["field"]))
+
+    return _by_page(words, profile, told, _BOX).withColumnRenamed("told", "blocks")
 
 
 def column_bounds(words: DataFrame, profile: Profile) -> DataFrame:
     """bounds: half-open intervals of the columns; a boundary is set as its right column's align says."""
-    b = F.col("blocks")
-
-    def boundary(i: Column) -> Column:
-        right, left = F.get(b, i), F.get(b, i - 1)
-        return F.when(right.align == "left_edge", right.x0).when(right.align == "right_edge", right.x1).otherwise((left.x1 + right.x0) / 2)
-
-    n = len(profile.columns)
-    edges = F.concat(F.array(F.lit(0.0)), *([F.transform(F.sequence(F.lit(1), F.lit(n - 1)), boundary)] if n > 1 else []), F.array(F.col("page_width").cast("double")))
-    spans = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.get(b, i).field.alias("field"), F.get(F.col("_edges"), i).alias("x0"), F.get(F.col("_edges"), i + 1).alias("x1")))
-    return header_blocks(words, profile).withColumn("_edges", edges).withColumn("bounds", spans).drop("_edges")
-
-
-def _table_bottom(words: DataFrame, pages: DataFrame, profile: Profile) -> DataFrame:
-    """pages with bottom, the height at which the table ends."""
-    floor = F.col("page_height") - MARGIN
-    if profile.table_end == "page_bottom":
-        return pages.withColumn("bottom", floor)
-    head = pages.select(*PAGE, "header_top")
-    if profile.table_end == "footer_text":
-        marked = lines(words).join(head, list(PAGE)).filter((F.col("line_top") > F.col("header_top")) & F.contains("line", F.lit(profile.footer)))
-        ends = marked.groupBy(*PAGE).agg(F.min_by("line_top", "first_flow").alias("_end"))
-    else:
-        below = words.join(head, list(PAGE)).filter(F.col("top") > F.col("header_top") + BELOW_HEADER)
-        ys = below.select(*PAGE, _line_key("top").alias("y")).distinct()
-        gaps = ys.withColumn("gap", F.lead("y").over(Window.partitionBy(*PAGE).orderBy("y")) - F.col("y"))
-        listed = gaps.filter("gap is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "gap"))).alias("_g"))
-        sizes = F.array_sort(F.transform("_g", lambda g: g.gap))
-        middle = F.get(sizes, F.floor(F.size("_g") / 2).cast("int"))
-        wide = F.filter("_g", lambda g: g.gap > middle * 2)
-        ends = listed.select(*PAGE, F.get(wide, F.lit(0)).y.alias("_end"))
-    return pages.join(ends, list(PAGE), "left").withColumn("bottom", F.coalesce("_end", floor)).drop("_end")
-
-
-def table_words(words: DataFrame, profile: Profile) -> DataFrame:
-    """The words between header and end of table, with their line and their column's field."""
-    pages = _table_bottom(words, column_bounds(words, profile), profile).select(*PAGE, "header_top", "bottom", "bounds")
-    middle = (F.col("x0") + F.col("x1")) / 2
-    column = F.get(F.filter("bounds", lambda c: (c.x0 <= middle) & (middle < c.x1)), F.lit(0)).field
-    inside = words.join(pages, list(PAGE)).filter((F.col("top") > F.col("header_top") + BELOW_HEADER) & (F.col("top") < F.col("bottom"))).select(*PAGE, column.alias("field"), "top", "flow_idx", "text")
-    down = Window.partitionBy(*PAGE).orderBy("top", "flow_idx")
-    step = F.coalesce(F.abs(F.col("top") - F.lag("top").over(down)) >= profile.line_tolerance, F.lit(False)).cast("int")
-    return inside.withColumn("_step", step).withColumn("line_no", F.sum("_step").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+
+    def told(page: PrintedPage) -> list[dict] | None:
+        return [dict(zip(("field", "x0", "x1"), b)) for b in page.bounds] if page.placed else None
+
+    return _by_page(words, profile, told, "field:string,x0:double,x1:double").withColumnRenamed("told", "bounds")
 
 
 def table_lines(words: DataFrame, profile: Profile) -> DataFrame:
     """One row per printed line with the text of each field; lines without any are gone."""
     fields = sorted(profile.fields)
-
-    def cell(field: str) -> Column:
-        found = F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("top", "flow_idx", "text"))))
-        return F.array_join(F.transform(found, lambda w: w.text), " ").alias(field)
-
-    out = table_words(words, profile).groupBy(*PAGE, "line_no").agg(*map(cell, fields))
-    return out.filter(F.concat(*fields) != "")
+    found = _by_page(words, profile, lambda page: page.table_lines if page.placed else None, ",".join(f"{f}:string" for f in fields))
+    return found.select(*PAGE, F.posexplode("told").alias("line_no", "_l")).select(*PAGE, "line_no", *(F.col("_l")[f].alias(f) for f in fields))
 
 
 def raw_rows(words: DataFrame, profile: Profile) -> DataFrame:
-    """Raw text rows of all pages: wrapped descriptions joined, rows without one gone, numbered by file."""
+    """Raw text rows of all pages: wrapped descriptions joined, rows without one gone, numbered by file.
+
+    Numbers go on from page to page: a window over the pages of a file adds up how many rows each has.
+    """
     fields = sorted(profile.fields)
-    rows = table_lines(by_page(words), profile)
-    others = [f for f in fields if f != "description"]
-    if profile.multiline == "merge_into_previous":
-        down = Window.partitionBy(*PAGE).orderBy("line_no")
-        alone = (F.col("description") != "") & (F.concat(*others) == "")
-        starts = (~alone | (F.row_number().over(down) == 1)).cast("int")
-        rows = rows.withColumn("_starts", starts).withColumn("_row", F.sum("_starts").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-        told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "description"))), lambda d: d.description), " ")
-        rows = rows.groupBy(*PAGE, "_row").agg(F.trim(told).alias("description"), *(F.min_by(f, "line_no").alias(f) for f in others))
-    else:
-        rows = rows.withColumnRenamed("line_no", "_row")
-    kept = rows.filter(F.trim("description") != "")
-    number = F.row_number().over(Window.partitionBy("source_file").orderBy("page", "_row"))
-    return kept.withColumn("row", number).select(*PAGE, "row", *fields)
+    found = _by_page(words, profile, lambda page: page.rows if page.placed else None, ",".join(f"{f}:string" for f in fields))
+    before = Window.partitionBy("source_file").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = found.withColumn("_before", F.coalesce(F.sum(F.size("told")).over(before), F.lit(0)))
+    rows = numbered.select(*PAGE, "_before", F.posexplode("told").alias("_at", "_r"))
+    return rows.select(*PAGE, (F.col("_before") + F.col("_at") + 1).cast("int").alias("row"), *(F.col("_r")[f].alias(f) for f in fields))
 
 
 def check_layout(words: DataFrame, profile: Profile) -> None:
