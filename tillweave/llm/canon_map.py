@@ -309,5 +309,6 @@ def map_values(values: DataFrame, canon: DataFrame, kind: str, value_col: str, i
     rows = values.select(F.col(id_col).cast("long").alias("row_id"), F.col(value_col).cast("string").alias("_value")).filter("_value is not null")
     # As many tasks as the session shuffles into: the values are few bytes but much work, so AQE mustn't join them up.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select("_value").distinct().repartition(tasks, "_value").mapInArrow(run, schema)
+    # By a hash of its own: a repartition by the value itself would be taken for the aggregate's and be joined up again.
+    found = rows.select("_value").distinct().repartition(tasks, F.xxhash64("_value")).mapInArrow(run, schema)
     return rows.join(found, "_value").select("row_id", "canon_id")
