@@ -71,8 +71,8 @@ class LatentModel:
     search: Search
     vocabulary: dict[str, int]
     words: np.ndarray  # latent vector of each word, weighted by its idf; a last row of zeros for other words
-    telling: np.ndarray  # whether a word is rare among the items
-    members: np.ndarray  # items x words: whether the item holds the word
+    telling: np.ndarray  # whether a word is rare among the items; a last one for other words
+    members: np.ndarray  # items x words, other words last: whether the item holds the word
     items: list[tuple[int, np.ndarray]]  # (item id, word numbers)
     windows: np.ndarray  # word numbers of each item window
     window_at: np.ndarray  # (item's place, first word) of each
@@ -136,10 +136,10 @@ def fit(items: DataFrame, item_col: str = "item_id", text_col: str = "passage",
         return None
     vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in split for x in w}))}
     coded = [(i, np.array([vocabulary[x] for x in w], np.int64)) for i, w in split]
-    members = np.zeros((len(coded), len(vocabulary)), bool)
+    members = np.zeros((len(coded), len(vocabulary) + 1), bool)
     for n, (_, w) in enumerate(coded):
         members[n, w] = True
-    frequency = members.sum(0)
+    frequency = members[:, :-1].sum(0)
     weights = np.log((1 + len(coded)) / (1 + frequency)) + 1
     latent = randomised_svd(texts.select("text"), vocabulary, search.window, weights, search.rank) * weights[:, None]
     words = np.vstack([latent, np.zeros(latent.shape[1])]).astype(np.float32)
@@ -147,7 +147,7 @@ def fit(items: DataFrame, item_col: str = "item_id", text_col: str = "passage",
     windows = np.concatenate([_windows_of(w, search.window) for _, w in whole]) if whole else np.zeros((0, search.window), np.int64)
     at = np.array([(n, p) for n, w in whole for p in range(len(w) - search.window + 1)], np.int64).reshape(-1, 2)
     pieces = [(n, _windows_of(w, search.span, max(1, search.span // 4))) for n, (_, w) in enumerate(coded)]
-    model = LatentModel(search, vocabulary, words, frequency <= max(1, np.median(frequency)), members, coded, windows, at, words[:0], np.repeat([n for n, _ in pieces], [len(p) for _, p in pieces]), words[:0])
+    model = LatentModel(search, vocabulary, words, np.append(frequency <= max(1, np.median(frequency)), False), members, coded, windows, at, words[:0], np.repeat([n for n, _ in pieces], [len(p) for _, p in pieces]), words[:0])
     model.window_vectors = model.project(windows)
     model.stretch_vectors = model.project(np.concatenate([p for _, p in pieces]))
     return model
@@ -209,15 +209,16 @@ def _rewordings(ids: np.ndarray, model: LatentModel) -> dict[int, tuple[float, f
         return best
     for q, v in _near(model.project(pieces), model.stretch_vectors, search.stretch_cosine):
         pairs = np.unique(q * len(model.items) + model.stretch_item[v])
-        for piece, n in zip((pairs // len(model.items)).tolist(), (pairs % len(model.items)).tolist()):
-            part = pieces[piece]
-            part = part[part >= 0]
-            telling = part[model.telling[part]]
-            answers = float(model.members[n][telling].mean()) if len(telling) else 0.0
-            if answers >= search.min_answers and model.members[n][part].sum() >= search.min_common * wide:
-                common = common_subsequence(model.items[n][1], part) / wide
-                if common >= search.min_common and (common, answers) > best.get(n, (0.0, 0.0)):
-                    best[n] = (common, answers)
+        at, n = pairs // len(model.items), pairs % len(model.items)
+        part = pieces[at]
+        held, telling = model.members[n[:, None], part], model.telling[part]
+        told = telling.sum(1)
+        answers = (held & telling).sum(1) / np.maximum(told, 1)
+        # More words can't be common in order than are common at all.
+        for k in np.flatnonzero((answers >= search.min_answers) & (told > 0) & (held.sum(1) >= search.min_common * wide)).tolist():
+            common = common_subsequence(model.items[n[k]][1], part[k][part[k] >= 0]) / wide
+            if common >= search.min_common and (common, float(answers[k])) > best.get(int(n[k]), (0.0, 0.0)):
+                best[int(n[k])] = (common, float(answers[k]))
     return best
 
 
