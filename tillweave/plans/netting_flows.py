@@ -67,8 +67,8 @@ fc as (select 'account' source_layer, account source, 'category' target_layer, s
 fs as (select 'category' source_layer, shown source, 'subcategory' target_layer, shown || '/' || subcategory target, sum(v)::decimal(38,2) "value", sum(c)::bigint "count" from sp join sl using (label)
   where subcategory <> '' and shown not in ('Other', '(uncategorised)') group by shown, subcategory having sum(v) >= {MIN_SHARE_SUB} * (select sum(v) from sp))"""
 _XFER = """pr as (select pair_id, arg_min(account, amount) payer, arg_max(account, amount) payee, max(amount) amount from net where pair_id is not null group by pair_id having count(*) = 2),
-pa as (select least(payer, payee) low, greatest(payer, payee) high, coalesce(sum(amount) filter (payer <= payee), 0) forth, coalesce(sum(amount) filter (payer > payee), 0) back, count(*) * 2 c from pr group by 1, 2),
-ft as (select case when forth > back then low else high end source, case when forth > back then high else low end target, abs(forth - back)::decimal(38,2) "value", c::bigint "count", greatest(forth, back)::decimal(38,2) gross_with, least(forth, back)::decimal(38,2) gross_against from pa where forth <> back),
+pa as (select least(payer, payee) low, greatest(payer, payee) high, coalesce(sum(amount) filter (payer <= payee), 0) forth, coalesce(sum(amount) filter (payer > payee), 0) back, count(*) * 2 c, min(pair_id) p from pr group by 1, 2),
+ft as (select case when forth > back then low else high end source, case when forth > back then high else low end target, abs(forth - back)::decimal(38,2) "value", c::bigint "count", greatest(forth, back)::decimal(38,2) gross_with, least(forth, back)::decimal(38,2) gross_against, p from pa where forth <> back),
 fu as (select 'account' source_layer, account source, 'category' target_layer, 'Transfers (unmatched)' target, sum(-amount)::decimal(38,2) "value", count(*) "count" from net where is_transfer and pair_id is null and amount < 0 group by account
   union all select 'category', 'Transfers (unmatched)', 'account', account, sum(amount)::decimal(38,2), count(*) from net where is_transfer and pair_id is null and amount > 0 group by account)"""
 _LINK = 'source_layer, source, target_layer, target, "value", "count"'
@@ -76,29 +76,38 @@ _ALL = f"""fa as (select 'account' source_layer, source, 'account' target_layer,
 _NODES = """nt as (select layer, label, sum(v)::decimal(38,2) total from (select source_layer layer, source label, "value" v from fa union all select target_layer, target, "value" from fa) group by layer, label)"""
 
 
+_SEEN = f"""inc as (select ord, account, shown from (select *, coalesce(nullif(subcategory, ''), nullif(category, ''), '(uncategorised)') label from led where {_INCOME}) join il using (label)),
+spe as (select ord, account, shown, subcategory from (select *, case when category = '' then '(uncategorised)' else category end label from led where {_SPEND}) join sl using (label)),
+lone as (select ord, account from net where is_transfer and pair_id is null and amount <> 0),
+seen as (select 'account' layer, source label, 1 ph, p f, 0 pos from ft union all select 'account', target, 1, p, 1 from ft union all select 'account', account, 2, ord, 0 from lone union all select 'category', 'Transfers (unmatched)', 2, ord, 1 from lone
+  union all select 'income', shown, 3, ord, 0 from inc union all select 'account', account, 3, ord, 1 from inc union all select 'account', account, 4, ord, 0 from spe union all select 'category', shown, 4, ord, 1 from spe
+  union all select 'category', shown, 5, ord, 0 from spe join fs on fs.target = shown || '/' || subcategory union all select 'subcategory', shown || '/' || subcategory, 5, ord, 1 from spe join fs on fs.target = shown || '/' || subcategory),
+met as (select layer, label, min(ph::hugeint * 1000000000000000 + f * 2 + pos) at_ from seen group by layer, label)"""
+
+
 @query("flow_income", sql(f"select {_LINK} from fi", _IN))
 def flow_income(spark, sf_dir):
-    return W.income_flows(led(spark, sf_dir), MIN_SHARE)
+    return W.income_flows(led(spark, sf_dir), MIN_SHARE).select(*W.LINK)
 
 
 @query("flow_account_category", sql(f"select {_LINK} from fc", _OUT))
 def flow_account_category(spark, sf_dir):
-    return W.account_category_flows(led(spark, sf_dir), MIN_SHARE)
+    return W.account_category_flows(led(spark, sf_dir), MIN_SHARE).select(*W.LINK)
 
 
 @query("flow_category_sub", sql(f"select {_LINK} from fs", _OUT))
 def flow_category_sub(spark, sf_dir):
-    return W.category_sub_flows(led(spark, sf_dir), MIN_SHARE, MIN_SHARE_SUB)
+    return W.category_sub_flows(led(spark, sf_dir), MIN_SHARE, MIN_SHARE_SUB).select(*W.LINK)
 
 
 @query("flow_transfers_net", net_sql('select source, target, "value", "count", gross_with, gross_against from ft', _XFER))
 def flow_transfers_net(spark, sf_dir):
-    return W.transfer_flows(netted(spark, sf_dir))
+    return W.transfer_flows(netted(spark, sf_dir)).drop("phase", "first")
 
 
 @query("flow_unmatched", net_sql(f"select {_LINK} from fu", _XFER))
 def flow_unmatched(spark, sf_dir):
-    return W.unmatched_flows(netted(spark, sf_dir))
+    return W.unmatched_flows(netted(spark, sf_dir)).select(*W.LINK)
 
 
 def _links(spark, sf_dir):
@@ -107,15 +116,21 @@ def _links(spark, sf_dir):
 
 @query("flow_links", net_sql(f"select {_LINK} from fa", _XFER, _IN, _OUT, _ALL))
 def flow_links(spark, sf_dir):
-    return _links(spark, sf_dir)
+    return _links(spark, sf_dir).select(*W.LINK)
+
+
+@query("flow_links_gross", net_sql(f"select {_LINK}, gross_with, gross_against from fa left join (select source, target, gross_with, gross_against, 'account' tl from ft) g using (source, target) where source_layer = 'account' and target_layer = 'account'", _XFER, _IN, _OUT, _ALL))
+def flow_links_gross(spark, sf_dir):
+    """Net transfers with what flowed with and against them, as the figure tells on hover."""
+    return _links(spark, sf_dir).filter("phase = 1").select(*W.LINK, *W.GROSS)
 
 
 @query("flow_nodes", net_sql("select layer, label, total from nt", _XFER, _IN, _OUT, _ALL, _NODES))
 def flow_nodes(spark, sf_dir):
-    return W.node_totals(_links(spark, sf_dir))
+    return W.node_totals(_links(spark, sf_dir)).drop("met")
 
 
-@query("flow_node_rank", net_sql("select layer, label, total, rank() over w as rank, round(least(greatest((row_number() over w - 0.5) / count(*) over (partition by layer), 0.001), 0.999), 6)::double as y from nt window w as (partition by layer order by total desc, label)", _XFER, _IN, _OUT, _ALL, _NODES))
+@query("flow_node_rank", net_sql("select layer, label, total, row_number() over w as rank, round(least(greatest((row_number() over w - 0.5) / count(*) over (partition by layer), 0.001), 0.999), 6)::double as y from nt join met using (layer, label) window w as (partition by layer order by total desc, at_)", _XFER, _IN, _OUT, _ALL, _NODES, _SEEN))
 def flow_node_rank(spark, sf_dir):
     return W.node_places(_links(spark, sf_dir)).withColumn("y", F.col("y").cast("double"))
 

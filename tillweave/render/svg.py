@@ -60,9 +60,19 @@ def lines(series: dict[str, list[tuple[dt.date, float]]]) -> str:
     return _frame(out, max(HEIGHT, PAD + 16 * len(series) + 20))
 
 
+def _hover(link: dict) -> str:
+    """What a link tells: its ends, its rows and amount; of net transfers also what flowed with and against it."""
+    said = f"{link['source']} to {link['target']}: {link['count']} rows, {float(link['value']):,.2f}"
+    if link.get("gross_with") is not None:
+        said += f" net ({float(link['gross_with']):,.2f} with, {float(link['gross_against']):,.2f} against)"
+    return escape(said)
+
+
 def flows(links: list[dict], nodes: list[dict], currency: str | None = None) -> str:
     """Layers of nodes, sized by what flows through, and ribbons between them.
 
+    A ribbon has the hue of the end that tells most: its target where it leaves an account, else its source.
+
     links: source_layer, source, target_layer, target, value, count; nodes: layer, label, total, rank, y.
     """
     crowd = defaultdict(int)
@@ -94,5 +104,5 @@ def flows(links: list[dict], nodes: list[dict], currency: str | None = None) ->
             (x1, y1), (x2, y2) = spot[a], spot[b]
             middle = (x1 + x2) / 2 + (80 if x1 == x2 else 0)
             wide = max(float(link["value"]) / most * (height - 2 * PAD) * 0.5, 0.8)
-            out.append(f'<path d="M{x1 + 12:.1f},{y1:.1f} C{middle:.1f},{y1:.1f} {middle:.1f},{y2:.1f} {x2:.1f},{y2:.1f}" fill="none" stroke="{rgba(hue[a], 0.35)}" stroke-width="{wide:.1f}"><title>{link["count"]} rows, {float(link["value"]):,.2f}</title></path>')
+            out.append(f'<path d="M{x1 + 12:.1f},{y1:.1f} C{middle:.1f},{y1:.1f} {middle:.1f},{y2:.1f} {x2:.1f},{y2:.1f}" fill="none" stroke="{rgba(hue[b if a[0] == "account" else a], 0.35)}" stroke-width="{wide:.1f}"><title>{_hover(link)}</title></path>')
     return _frame(out + front, height)
