@@ -30,14 +30,19 @@ def expect(library, texts):
 
 
 def test_tricky_texts(library):
-    assert B.encode_batch(pa.array(TRICKY), B.DEFAULT_VOCABULARY).to_pylist() == expect(library, TRICKY)
+    assert B.encode_batch(pa.array(TRICKY), B.DEFAULT_VOCABULARY)[0].to_pylist() == expect(library, TRICKY)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" '\n\tsdmtlver.é1A　"), st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF)), max_size=40), min_size=1, max_size=8))
 def test_any_text_is_encoded_and_decoded(texts):
-    got = B.encode_batch(pa.array(texts), B.DEFAULT_VOCABULARY).to_pylist()
+    got, offsets = (a.to_pylist() for a in B.encode_batch(pa.array(texts), B.DEFAULT_VOCABULARY))
     assert [B.decode(ids) for ids in got] == texts
+    for text, ids, at in zip(texts, got, offsets):
+        raw = text.encode()
+        ends = [*at[1:], len(raw)] if at else []
+        assert at[:1] == [0][: len(at)] and [raw[a:b] for a, b in zip(at, ends)] == [B._pieces(B.DEFAULT_VOCABULARY)[i] for i in ids]
+        assert B.decode_part(ids, at, len(raw) // 3, len(raw)) == raw[len(raw) // 3 :]
 
 
 def test_spark_rows(spark, library):
@@ -47,6 +52,8 @@ def test_spark_rows(spark, library):
     hello = expect(library, ["Hello world"])[0]
     assert got == [(1, []), (2, []), (3, hello), (3, hello), (4, expect(library, ["x y " * 50_000])[0])]
     assert B.encode(df.limit(0)).count() == 0
+    placed = {r.doc_id: r for r in B.encode(df, with_offsets=True).collect()}
+    assert placed[3].offsets == [0, 5] and placed[1].offsets == placed[2].offsets == [] and len(placed[4].offsets) == len(placed[4].ids)
 
 
 def test_scan_is_the_sequential_automaton():
@@ -68,5 +75,5 @@ def test_scan_is_the_sequential_automaton():
 
 def test_long_text_in_segments(library):
     text = ("It's a long  text's\n\twith 'quotes' and 123 numbers; naïve 日本 " * 300) + "x" * 5000 + " 'll end'"
-    got = B.encode_batch(pa.array([text]), B.DEFAULT_VOCABULARY, run_bytes=700).to_pylist()
+    got = B.encode_batch(pa.array([text]), B.DEFAULT_VOCABULARY, run_bytes=700)[0].to_pylist()
     assert got == expect(library, [text])

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -20,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -167,6 +170,8 @@ class Merger:
         ranks = self.ranks
         pairs = sorted(((ranks[a] << 17 | ranks[b]), whole) for piece, whole in ranks.items() for cut in range(1, len(piece)) if (a := piece[:cut]) in ranks and (b := piece[cut:]) in ranks)
         self.none = 1 << 17
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes that each id stands for
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.pair_keys = np.array([k for k, _ in pairs] + [1 << 40], np.int64)
         self.pair_ids = np.array([v for _, v in pairs] + [self.none], np.int32)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -339,14 +344,19 @@ def _segments(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
         at = stop
 
 
-def encode_batch(texts: pa.Array, vocabulary: str, run_bytes: int = 4 << 20) -> pa.ListArray:
-    """Ids of each text; an empty list for a null and for an empty text."""
+def encode_batch(texts: pa.Array, vocabulary: str, run_bytes: int = 4 << 20) -> tuple[pa.ListArray, pa.ListArray]:
+    """(ids, offsets) of each text; empty lists for a null and for an empty text.
+
+    An offset is the place of an id's first byte in the text's UTF-8. Slices lie one after another, so within a
+    text the offsets are the running sum of what the ids stand for.
+    """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
     if not len(data):
-        return pa.array([[]] * len(texts), pa.list_(pa.int32()))
+        empty = pa.array([[]] * len(texts), pa.list_(pa.int32()))
+        return empty, empty
     edges = offsets - offsets[0]
     ids, per_text = [], np.zeros(len(texts), np.int64)
     if len(texts) == 1 and len(data) > run_bytes:
@@ -359,8 +369,11 @@ def encode_batch(texts: pa.Array, vocabulary: str, run_bytes: int = 4 << 20) ->
             ids.append(block)
             owner = np.searchsorted(edges, at, side="right") - 1
             per_text += np.bincount(owner, counts, len(texts)).astype(np.int64)
-    out = np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(out, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+    every = np.concatenate(ids)
+    sizes = merger(vocabulary).sizes[every]
+    begins = np.cumsum(sizes) - sizes - np.repeat(edges[:-1], per_text)
+    out = pa.array(np.concatenate([[0], np.cumsum(per_text)]).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(out, pa.array(a, pa.int32())) for a in (every, begins))
 
 
 def _bounded(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
@@ -375,22 +388,26 @@ def _bounded(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     yield at, len(sizes)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, run_bytes: int = 4 << 20) -> DataFrame:
-    """(id, ids) for every row of docs, without special tokens.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, run_bytes: int = 4 << 20, with_offsets: bool = False) -> DataFrame:
+    """(id, ids) for every row of docs, without special tokens; with_offsets adds offsets, each id's first byte.
 
-    Null and empty texts give an empty list. Control tokens written in a text are ordinary text. Repeated
+    Null and empty texts give empty lists. Control tokens written in a text are ordinary text. Repeated
     ids stay repeated rows, other columns are ignored whatever their names, an empty table gives an empty
     table. A map over the scan: no shuffle, so neither skew nor size of the corpus changes the plan.
     """
-    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    names = [id_col, "ids"]
+    names = [id_col, "ids", "offsets"][: 3 if with_offsets else 2]
+    # The file goes to the workers with the job; where they have it in its place anyway, that one is read.
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, T.ArrayType(T.IntegerType(), False)) for n in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
         for batch in batches:
             for a, b in _bounded(batch.column(1), run_bytes):
                 if b > a:
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([part.column(0), encode_batch(part.column(1), vocabulary, run_bytes)], names=names)
+                    lists = encode_batch(part.column(1), own, run_bytes)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *lists[: len(names) - 1]], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -400,6 +417,15 @@ def decode(ids: list[int], vocabulary: str = DEFAULT_VOCABULARY) -> str:
     return b"".join(map(_pieces(vocabulary).__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+def decode_part(ids: list[int], offsets: list[int], first: int, last: int, vocabulary: str = DEFAULT_VOCABULARY) -> bytes:
+    """The bytes first to last (excluded) of a text from its ids: only those are decoded that the offsets place there."""
+    a, b = bisect_right(offsets, first) - 1, bisect_left(offsets, last)
+    if first >= last or a < 0:
+        return b""
+    found = b"".join(map(_pieces(vocabulary).__getitem__, ids[a:b]))
+    return found[first - offsets[a] : last - offsets[a]]
+
+
 @lru_cache(maxsize=4)
 def _pieces(vocabulary: str) -> dict[int, bytes]:
     return {rank: piece for piece, rank in merger(vocabulary).ranks.items()}

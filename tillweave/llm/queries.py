@@ -105,6 +105,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids with the first byte of each."""
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), with_offsets=True)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak_search.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.withColumn("item_id", F.col("item_id").cast("int"))
@@ -132,7 +137,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p4_batches": p4_batches, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
+    return {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p4_found": p4_found, "p4_batches": p4_batches, "p4_clusters": p4_clusters, "p5_found": p5_found, "p5_copies": p5_copies, "p7_ids": p7_ids, "p7_offsets": p7_offsets, "p8_found": p8_found, "p8_items": p8_items, "p8_paraphrases": p8_paraphrases, "p9_found": p9_found, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
