@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from tillweave.llm.nearest_time import match_nearest, micros
+from pyspark.sql import functions as F
+
+from tillweave.llm.nearest_time import _split_hot, match_nearest, micros
 
 HOUR = 3_600_000_000
 EPOCH = dt.datetime(2024, 1, 1)
@@ -20,8 +22,8 @@ def brute(left, right, tolerance):
     return sorted(out)
 
 
-@pytest.mark.parametrize("trie_rows, salt_rows", [(3, 1_000_000), (7, 5), (1 << 15, 2)])
-def test_against_brute_force(spark, trie_rows, salt_rows):
+@pytest.mark.parametrize("trie_rows, split_rows", [(3, 1_000_000), (7, 5), (1 << 15, 2)])
+def test_against_brute_force(spark, trie_rows, split_rows):
     rnd = random.Random(trie_rows)
     stamp = lambda: EPOCH + dt.timedelta(hours=rnd.randrange(0, 900), seconds=rnd.choice([0, 0, 30]))
     key = lambda: rnd.choice(["hot", "hot", "hot", "a", "b", None])
@@ -30,10 +32,25 @@ def test_against_brute_force(spark, trie_rows, salt_rows):
     right += right[:20]
     a = spark.createDataFrame(left, "k string, i long, t timestamp_ntz").repartition(3)
     b = spark.createDataFrame(right, "k string, i long, t timestamp_ntz").selectExpr("*", "1 as _id", "2 as _bucket")
-    got = match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR, trie_rows=trie_rows, salt_rows=salt_rows).collect()
+    got = match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR, trie_rows=trie_rows, split_rows=split_rows).collect()
     assert sorted(map(tuple, got)) == brute(left, right, dt.timedelta(hours=48))
 
 
+def test_a_hot_entity_with_many_candidates_is_split(spark):
+    """Many entries and legs of one entity within hours, a crowd of legs at one moment: no group stays large."""
+    rnd = random.Random(8)
+    second = lambda: EPOCH + dt.timedelta(seconds=rnd.randrange(0, 40_000))
+    left = [("hot", i, rnd.choice([second(), EPOCH + dt.timedelta(hours=5)])) for i in range(700)]
+    right = [("hot", 1000 + i, second()) for i in range(900)] + [("cold", 5000, EPOCH)]
+    a, b = (spark.createDataFrame(rows, "k string, i long, t timestamp_ntz") for rows in (left, right))
+    got = match_nearest(a, b, ("k",), "i", "t", "i", "t", 48 * HOUR, split_rows=100)
+    assert sorted(map(tuple, got.collect())) == brute(left, right, dt.timedelta(hours=48))
+    slim = lambda df, side: df.select(F.col("k"), F.lit(0).alias("_bucket"), F.col("i").alias("_id"), micros(df, "t").alias("_t"), F.lit(side).cast("byte").alias("_side"))
+    entries, legs = _split_hot(slim(b, 0), slim(a, 1), ["k", "_bucket"], 100)
+    sizes = entries.groupBy("k", "_part", "_salt").count().agg({"count": "max"}).first()[0], legs.groupBy("k", "_part", "_salt").count().agg({"count": "max"}).first()[0]
+    assert sizes[0] < 30 and sizes[1] <= 140
+
+
 def test_ties_and_empty_tables(spark):
     t = dt.datetime(2024, 5, 1, 12)
     a = spark.createDataFrame([("x", 1, t), ("x", 1, t)], "k string, i long, t timestamp_ntz")

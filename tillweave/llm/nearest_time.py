@@ -1,8 +1,8 @@
 """Pairing records of two tables by the nearest time within a tolerance, for the same entity.
 
 Times are cut into buckets by their high bits, and the key of the shuffle is entity and bucket, so one
-entity that holds a third of all rows is spread over all its buckets. Candidates are copied to the buckets
-their tolerance reaches. Each task streams its rows in order and, for every batch, hashes all bit-prefixes
+entity that holds a third of all rows is spread over all its buckets; buckets that are still too full are cut at
+quantiles of their times. Candidates are copied to the buckets their tolerance reaches. Each task streams its rows in order and, for every batch, hashes all bit-prefixes
 of the candidates' times into x-fast trie tables; a query finds its longest present prefix by binary
 search over the prefix length, which gives predecessor and successor at once.
 """
@@ -15,7 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,10 @@ from tillweave.session import written
 HOURS_48 = 48 * 3600 * 1_000_000
 #: Rows of one trie. With at most 2^16 entities, 6 bits of level and 41 bits of time a prefix is one integer.
 TRIE_ROWS = 1 << 15
-#: Queries of one entity and bucket that one task answers; more are dealt out over several tasks.
-SALT_ROWS = 1_000_000
+#: Rows of one entity and bucket that one task takes; more are split by time, and queries of one moment dealt out.
+SPLIT_ROWS = 1_000_000
+#: Parts that such a bucket is split into, at quantiles of its times.
+TIME_PARTS = 256
 
 
 class XFastTrie:
@@ -92,8 +94,38 @@ def micros(df: DataFrame, name: str) -> Column:
     return wall_micros(t)
 
 
+def _split_hot(entries: DataFrame, legs: DataFrame, bucket: list[str], split_rows: int) -> tuple[DataFrame, DataFrame]:
+    """entries and legs with _part and _salt, so that no entity and bucket with very many of either is one group.
+
+    Such a bucket is cut at quantiles of its times. A part gets, besides its own entries, the last one before it and
+    the first one behind it, which are all that a query in it can need from others. Only queries crowded into
+    one moment still make a large part; they are dealt out, and the few entries of the part copied to each deal.
+    """
+    both = entries.select(*bucket, "_t").unionByName(legs.select(*bucket, "_t"))
+    hot = both.groupBy(*bucket).agg(F.count("*").alias("_n")).filter(F.col("_n") > split_rows).select(*bucket)
+    if hot.isEmpty():
+        return tuple(df.withColumns({"_part": F.lit(0), "_salt": F.lit(0)}) for df in (entries, legs))
+    quantiles = [k / TIME_PARTS for k in range(1, TIME_PARTS)]
+    cuts = both.join(written(hot, "hot-entities"), bucket, "left_semi").groupBy(*bucket).agg(F.array_distinct(F.percentile_approx("_t", quantiles, 1000)).alias("_cuts"))
+    cuts = written(cuts, "time-cuts")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_t"))), F.lit(0))
+    entries, legs = (df.join(cuts, bucket, "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts") for df in (entries, legs))
+    edges = entries.join(cuts.select(*bucket), bucket, "left_semi").groupBy(*bucket, "_part").agg(F.min("_t").alias("_t0"), F.min_by("_id", "_t").alias("_id0"), F.max("_t").alias("_t1"), F.max_by("_id", "_t").alias("_id1"))
+    parts = cuts.select(*bucket, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_part")).join(edges, [*bucket, "_part"], "left")
+    by_part = Window.partitionBy(*bucket).orderBy("_part")
+    before, behind = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(1, Window.unboundedFollowing)
+    nearest = F.array(*(F.struct(pick(t, ignorenulls=True).over(w).alias("_t"), pick(i, ignorenulls=True).over(w).alias("_id")) for pick, t, i, w in ((F.last, "_t1", "_id1", before), (F.first, "_t0", "_id0", behind))))
+    borders = parts.withColumn("_near", nearest).select(*bucket, "_part", F.inline("_near")).filter("_id is not null").withColumn("_side", F.lit(0).cast("byte"))
+    entries = entries.unionByName(borders.select(entries.columns))
+    crowded = written(legs.groupBy(*bucket, "_part").agg(F.ceil(F.count("*") / split_rows).cast("int").alias("_salts")).filter("_salts > 1"), "crowded")
+    dealt = F.coalesce("_salts", F.lit(1))
+    legs = legs.join(crowded, [*bucket, "_part"], "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), dealt).cast("int"))
+    entries = entries.join(crowded, [*bucket, "_part"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
+    return entries, legs
+
+
 def match_nearest(
-    left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_id: str, left_time: str, right_id: str, right_time: str, tolerance_us: int, trie_rows: int = TRIE_ROWS, salt_rows: int = SALT_ROWS
+    left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_id: str, left_time: str, right_id: str, right_time: str, tolerance_us: int, trie_rows: int = TRIE_ROWS, split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """(left_id, right_id): for each row of left the row of right that agrees in keys and is nearest in time.
 
@@ -118,17 +150,9 @@ def match_nearest(
     reach = F.sequence(F.shiftright(F.col("_t") - tolerance_us, bits), F.shiftright(F.col("_t") + tolerance_us, bits))
     entries = entries.withColumn("_bucket", F.explode(reach))
     legs = slim(left, left_id, left_time, 1).withColumn("_bucket", F.shiftright("_t", bits))
-    group = [*names, "_bucket", "_salt"]
+    group = [*names, "_bucket", "_part", "_salt"]
     order = [*group, "_t", "_side", "_id"]
-    # Where an entity has very many queries in a bucket they are dealt out, and its candidates copied to each deal.
-    hot = legs.groupBy(*names, "_bucket").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("_salts")).filter("_salts > 1")
-    if hot.isEmpty():
-        legs, entries = legs.withColumn("_salt", F.lit(0)), entries.withColumn("_salt", F.lit(0))
-    else:
-        hot = written(hot, "hot-entities")
-        dealt = F.coalesce("_salts", F.lit(1))
-        legs = legs.join(hot, [*names, "_bucket"], "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), dealt).cast("int"))
-        entries = entries.join(hot, [*names, "_bucket"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
+    entries, legs = _split_hot(entries, legs, [*names, "_bucket"], split_rows)
     rows = entries.select(order).unionByName(legs.select(order)).repartition(*group).sortWithinPartitions(*order)
     schema = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType())])
 
