@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tillweave.plans import data_quality, layout_text, netting_flows, parse_path, reports, rules_integrity, streams  # noqa: F401
+    from tillweave.plans import commands, data_quality, layout_text, netting_flows, parse_path, reports, rules_integrity, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
