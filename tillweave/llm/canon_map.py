@@ -29,6 +29,8 @@ MAX_ENTRIES = 100_000
 WALK_VALUES = 50_000
 #: Letters of a window that fit the machine word of the joint walk; longer ones walk one by one.
 WORD_LETTERS = 62
+#: Values up to which a step of the joint walk is dearer than one step for each.
+FEW = 12
 VOWELS = frozenset("aeiou")
 
 
@@ -123,15 +125,10 @@ class CanonTrie:
         if depth >= node.cut + self.spelling.cut_letters:
             yield "cut", frozenset(node.below)
 
-    def walk_one(self, text: str, errors: int) -> list[Hit]:
-        """All paths within errors of text, and what it is cut off from; a machine word of any length."""
-        n = len(text)
-        masks: dict[str, int] = {}
-        for i, c in enumerate(text):
-            masks[c] = masks.get(c, 0) | 1 << i
-        goal, found = 1 << n, []
+    def _descend(self, masks: dict[str, int], size: int, errors: int, stack: list[tuple]) -> list[Hit]:
+        """What one text of that size meets below the nodes of stack: (node, depth, states by errors, swaps by errors)."""
+        goal, found = 1 << size, []
         whole = (goal << 1) - 1
-        stack = [(self.root, 0, [((1 << (e + 1)) - 1) & whole for e in range(errors + 1)], [0] * (errors + 1))]
         while stack:
             node, depth, reached, swapping = stack.pop()
             for c, child in node.children.items():
@@ -144,15 +141,23 @@ class CanonTrie:
                         swap.append(reached[e - 1] & m >> 1)
                     last = r & whole
                     now.append(last)
-                d = next((e for e in range(errors + 1) if now[e] & goal), None)
-                if d is not None:
+                if last & goal:
+                    d = next(e for e in range(errors + 1) if now[e] & goal)
                     found += [(kind, d, frozenset(numbers)) for kind, numbers in child.entries.items()]
-                if now[0] & goal:
-                    found += [(kind, 0, numbers) for kind, numbers in self._met(child, depth + 1)]
-                if last or swap[-1]:
+                    if not d:
+                        found += [(kind, 0, numbers) for kind, numbers in self._met(child, depth + 1)]
+                if (last or swap[-1]) and (child.shortest <= size + errors and size - errors <= child.longest or now[0]):
                     stack.append((child, depth + 1, now, swap))
         return found
 
+    def walk_one(self, text: str, errors: int) -> list[Hit]:
+        """All paths within errors of text, and what it is cut off from; a machine word of any length."""
+        masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            masks[c] = masks.get(c, 0) | 1 << i
+        whole = (1 << len(text) + 1) - 1
+        return self._descend(masks, len(text), errors, [(self.root, 0, [((1 << (e + 1)) - 1) & whole for e in range(errors + 1)], [0] * (errors + 1))])
+
     def walk(self, texts: list[str]) -> list[list[Hit]]:
         """walk_one() for many texts, each with the errors its length allows; the trie is walked once for each number of errors."""
         found: list[list[Hit]] = [[] for _ in texts]
@@ -184,6 +189,7 @@ class CanonTrie:
         wholes = (goals << one) - one
         two = np.uint64(2)
         start = [np.full(len(texts), (1 << (e + 1)) - 1, np.uint64) & wholes for e in range(errors + 1)]
+        alone: dict[int, dict[str, int]] = {}
         stack = [(self.root, 0, np.arange(len(texts)), start, [nothing] * (errors + 1))]
         while stack:
             node, depth, own, reached, swapping = stack.pop()
@@ -215,7 +221,16 @@ class CanonTrie:
                 alive = (now[-1] | swap[-1] if errors else now[0]) != 0
                 alive &= (size + errors >= child.shortest) & (size - errors <= child.longest) | (now[0] != 0)
                 on = np.flatnonzero(alive)
-                if len(on) and child.children:
+                if not child.children:
+                    continue
+                if len(on) <= FEW:  # where few are left each goes on alone
+                    for k in on.tolist():
+                        i = int(own[k])
+                        letters = alone.setdefault(i, {})
+                        if not letters:
+                            letters.update((x, int(mask[i])) for x, mask in masks.items() if mask[i])
+                        found[places[i]] += self._descend(letters, int(size[k]), errors, [(child, depth + 1, [int(r[k]) for r in now], [0, *(int(x[k]) for x in swap[1:])])])
+                else:
                     stack.append((child, depth + 1, own[on], [r[on] for r in now], [nothing[:1], *(s[on] for s in swap[1:])]))
 
     def windows(self, words: list[str]) -> list[str]:
@@ -307,8 +322,9 @@ def map_values(values: DataFrame, canon: DataFrame, kind: str, value_col: str, i
         yield searched()
 
     rows = values.select(F.col(id_col).cast("long").alias("row_id"), F.col(value_col).cast("string").alias("_value")).filter("_value is not null")
-    # As many tasks as the session shuffles into: the values are few bytes but much work, so AQE mustn't join them up.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A quarter of the tasks the session shuffles into: the values are few bytes but much work, so AQE mustn't join
+    # them up, but a task walks the trie once for all its values, so it should have many.
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     # By a hash of its own: a repartition by the value itself would be taken for the aggregate's and be joined up again.
     found = rows.select("_value").distinct().repartition(tasks, F.xxhash64("_value")).mapInArrow(run, schema)
     return rows.join(found, "_value").select("row_id", "canon_id")
