@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -148,6 +149,13 @@ def test_any_cell_has_a_result(text, markdown):
     assert R.cell_kinds(text, markdown) <= {"placeholder", "filler", "error_page", "script_notice"}
 
 
+@pytest.mark.parametrize("piece", ["[add {x} here] {a} ", "<TD>{b}</TD> ", "Error 500 at line\n", "{{ a.b ", "write your ", "__A %B% @@ ${ ", "lorem 12 ", "see [your ", "not found here] "])
+def test_long_paragraphs_take_linear_time(piece):
+    began = time.perf_counter()
+    R.cell_kinds(piece * (400_000 // len(piece)), True)
+    assert time.perf_counter() - began < 8
+
+
 def test_residue_rows(spark):
     notice, schema = "Please enable JavaScript to view this notebook.", "doc_id long, text string, cells array<struct<cell_type:string,execution_count:int,char_start:int,char_end:int>>, kind int"
     rows = [

@@ -229,36 +229,49 @@ def _holds_field(text: str, at: int, opener: str, closer: str, rule: str) -> boo
     if rule == "words":
         return bool(_FEW_WORDS.fullmatch(content))
     if rule == "line":
-        return bool(_CAPITAL_LINE.fullmatch(text[text.rfind("\n", 0, at) + 1 : text.find("\n", stop) if "\n" in text[stop:] else len(text)]))
+        first, last = text.rfind("\n", 0, at) + 1, text.find("\n", stop, stop + FIELD_LENGTH)
+        last = last if last >= 0 else len(text)
+        return at - first <= FIELD_LENGTH and last - stop <= FIELD_LENGTH and bool(_CAPITAL_LINE.fullmatch(text[first:last]))
     return bool(content.strip())
 
 
 def has_field(paragraph: str) -> bool:
     """Whether a paragraph holds an unfilled template field; formulas and quoted code are left out."""
     prose = _MATH_OR_CODE.sub(" ", paragraph)
-    braces: list[tuple[int, int]] = []
+    braces = -1  # the end of the last field in single braces
     for end, (size, (opener, closer, rule)) in field_marks().iter(prose):
         at = end - size + 1
         if rule != "braces":
             if _holds_field(prose, at, opener, closer, rule):
                 return True
         elif (m := _BRACE.match(prose, at)) and not (at and (prose[at - 1].isalnum() or prose[at - 1] in "\\_{}$^'\"(")) and prose[m.end() : m.end() + 1] != "}":
-            if _GREETING.fullmatch(prose[:at]):
+            if at <= FIELD_LENGTH and _GREETING.fullmatch(prose[:at]):
                 return True
             # Two fields of a sentence, with no other braces between them, aren't a formula or a mapping.
-            if braces and not set("{}\n") & set(prose[braces[-1][1] : at]):
+            if braces >= 0 and not set("{}\n") & set(prose[braces:at]):
                 return True
-            braces.append((at, m.end()))
+            braces = m.end()
     return False
 
 
-def has_instruction(text: str, met: list[tuple[int, int]]) -> bool:
-    """Whether a tidy paragraph instructs its author. met: (start, end) of the beginnings of instructions in it."""
-    halves: dict[str, list[str]] = {}
+@lru_cache(maxsize=1)
+def _instruction_ends() -> dict[str, list[str]]:
+    """What may follow the beginnings of instructions."""
+    out: dict[str, list[str]] = {}
     for phrase in _listed(lexicon.INSTRUCTIONS):
         head, _, tail = phrase.partition("\u2026")
-        halves.setdefault(head.strip(), []).append(tail.strip())
-    total = sum(b - a for a, b in _spans(text))
+        out.setdefault(head.strip(), []).append(tail.strip())
+    return out
+
+
+def has_instruction(text: str, met: list[tuple[int, int]]) -> bool:
+    """Whether a tidy paragraph instructs its author. met: (start, end) of the beginnings of instructions in it."""
+    letters = np.zeros(len(text) + 1, np.int64)
+    for a, b in _spans(text):
+        letters[a + 1 : b + 1] = 1
+    letters = np.cumsum(letters)
+    least = INSTRUCTION_COVERAGE * letters[-1]
+    begins = next((k for k, c in enumerate(text) if c.isalnum()), len(text))
     for start, end in met:
         head = text[start:end]
         if head.startswith("[") or head.endswith("]"):
@@ -268,20 +281,19 @@ def has_instruction(text: str, met: list[tuple[int, int]]) -> bool:
                     continue
             else:
                 stop = text.find("]", end, end + FIELD_LENGTH)
-            inside = text[start + 1 : stop].strip()
+            inside = text[start + 1 : stop].strip() if stop > 0 else ""
             # What follows tells a link from a field; a field is a few words.
-            if stop > 0 and text[stop + 1 : stop + 2] not in ("(", "[", ":") and len(inside.split()) < 7 and _FEW_WORDS.match(inside) and (end >= len(text) or not text[end].isalpha() or _wide(text[end])):
+            if inside and text[stop + 1 : stop + 2] not in ("(", "[", ":") and len(inside.split()) < 7 and _FEW_WORDS.match(inside) and (end >= len(text) or not text[end].isalpha() or _wide(text[end])):
                 return True
             continue
-        for tail in halves.get(head, ()):
+        for tail in _instruction_ends().get(head, ()):
             stop = end
             if tail:
                 place = text.find(tail, end, end + FIELD_LENGTH)
                 if place < 0 or len(text[end:place].split()) > 4 or _wide(head[-1]) and place - end > 12:
                     continue
                 stop = place + len(tail)
-            covered = sum(max(0, min(b, stop) - max(a, start)) for a, b in _spans(text))
-            if covered >= INSTRUCTION_COVERAGE * total or head.startswith("todo") and not any(c.isalnum() for c in text[:start]):
+            if letters[stop] - letters[start] >= least or head.startswith("todo") and start <= begins:
                 return True
     return False
 
