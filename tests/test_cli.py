@@ -92,6 +92,11 @@ def test_categorise_gate_and_report(ledger, tmp_path, capsys):
     assert main(["report", "--in", str(out), "--out", str(tmp_path / "open.csv")]) == 0
     assert [r["description"] for r in csv.DictReader((tmp_path / "open.csv").open())] == ["Sweep received", "Stall 14 fair", "Saving club", "Lamp oil & wicks"]
     assert [r["count"] for r in csv.DictReader((tmp_path / "open_by_description.csv").open())] == ["1"] * 4
+    # A path that ends with a slash is a folder of files, which the commands read as they read one file.
+    assert main(["categorise", "--rules", str(rules), "--in", str(ledger), "--out", f"{tmp_path}/many/", "--tolerance", "316.35"]) == 0
+    assert main(["report", "--in", f"{tmp_path}/many/", "--out", f"{tmp_path}/left/"]) == 0
+    assert sorted(r["description"] for f in (tmp_path / "left").glob("*.csv") for r in csv.DictReader(f.open())) == ["Lamp oil & wicks", "Saving club", "Stall 14 fair", "Sweep received"]
+    assert list((tmp_path / "left_by_description").glob("*.csv"))
 
 
 def test_triage(ledger, tmp_path, monkeypatch, capsys):

@@ -134,6 +134,10 @@ def test_text_frames_of_ragged_files(spark, tmp_path):
     assert [tuple(r) for r in frame.orderBy("ord").collect()] == [("1", "", "", 0), ("x\ny", "2", "3", 1), ("", "", "", 2), (" ", "", "", 3)]
     with pytest.raises(InputError, match="d"):
         read_text_frame(spark, str(tmp_path / "r.csv"), ["a", "d"])
+    (tmp_path / "many").mkdir()
+    for name in ("b 1", "a"):
+        (tmp_path / "many" / f"{name}.csv").write_text(f"x,y\n{name},1\n{name},2\n")
+    assert [(r.x, r.y) for r in read_text_frame(spark, str(tmp_path / "many")).orderBy("ord").collect()] == [("a", "1"), ("a", "2"), ("b 1", "1"), ("b 1", "2")]
     (tmp_path / "e.csv").write_text("")
     with pytest.raises(ExtractionError, match="header"):
         read_export(spark, str(tmp_path / "e.csv"), find_profile("revolut_current"))

@@ -52,7 +52,7 @@ def parse(args: argparse.Namespace) -> str:
     kept = integrity.dedupe(rows)
     for w in integrity.period_warnings(integrity.source_periods(kept)).orderBy("start").collect():
         print(f"warning: {w.kind} between {w.previous_file} (to {w.previous_end}) and {w.source_file} (from {w.start})", file=sys.stderr)
-    csv_files.write_single_csv(csv_files.ledger_text(kept), args.output, ["ord"])
+    csv_files.write_rows(csv_files.ledger_text(kept), args.output, ["ord"])
     return f"wrote {kept.count()} transactions to {args.output}"
 
 
@@ -85,7 +85,7 @@ def categorise(args: argparse.Namespace) -> tuple[str, int]:
     text = _amounts(_text_frame(args.input, *csv_files.CATEGORISE_COLUMNS))
     names = [c for c in text.columns if c not in ("ord", "_amount", "category", "subcategory", "is_transfer")]
     rows = written(K.categorise(text, rules), "categorised")
-    csv_files.write_single_csv(rows.select(*names, "category", "subcategory", flag_text(F.col("is_transfer")).alias("is_transfer"), "ord"), args.output, ["ord"])
+    csv_files.write_rows(rows.select(*names, "category", "subcategory", flag_text(F.col("is_transfer")).alias("is_transfer"), "ord"), args.output, ["ord"])
     sums = K.gate(rows.withColumn("amount", F.col("_amount")), args.tolerance).first()
     said = f"categorised {sums.rows - sums.uncategorised} of {sums.rows} row(s); {sums.uncategorised} uncategorised; wrote {args.output}"
     return said if sums.passes else f"{said}\nerror: uncategorised amounts exceed the tolerance over {sums.uncategorised} row(s)", 0 if sums.passes else 1
@@ -94,15 +94,15 @@ def categorise(args: argparse.Namespace) -> tuple[str, int]:
 def report(args: argparse.Namespace) -> str:
     text = _amounts(_text_frame(args.input, "category", *csv_files.CATEGORISE_COLUMNS))
     open_ = text.filter(F.col("category") == "")
-    csv_files.write_single_csv(open_.drop("_amount"), args.output, [F.desc(F.abs(parse_money(F.col("amount"), ""))), "ord"])
-    out = Path(args.agg_output) if args.agg_output else Path(args.output).with_name(f"{Path(args.output).stem}_by_description{Path(args.output).suffix}")
+    csv_files.write_rows(open_.drop("_amount"), args.output, [F.desc(F.abs(parse_money(F.col("amount"), ""))), "ord"])
+    out = args.agg_output or str(Path(args.output).with_name(f"{Path(args.output).stem}_by_description{Path(args.output).suffix}")) + "/" * args.output.endswith("/")
     by = reports.by_description(open_.withColumn("amount", F.col("_amount")))
     # Ties come in the order of the row report: by the largest single row, then by place.
     largest = open_.groupBy("description").agg(F.max(F.abs("_amount")).alias("_largest"))
     ordered = by.join(largest, "description")
     order = [F.desc(F.abs("total_amount")), F.desc("_largest"), "first_ord"]
     shown = ordered.withColumnRenamed("amount", "total_amount").withColumnRenamed("rows", "count").orderBy(*order).select("description", "total_amount", "count")
-    csv_files.write_single_csv(shown, str(out))
+    csv_files.write_rows(shown, out)
     return f"wrote {open_.count()} uncategorised row(s) to {args.output} and {by.count()} distinct description(s) to {out}"
 
 

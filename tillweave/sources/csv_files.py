@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,18 @@ def header_of(spark: SparkSession, path: str, delimiter: str = ",", encoding: st
 
 
 def _cells(spark: SparkSession, path: str, names: Sequence[str], delimiter: str, encoding: str) -> DataFrame:
-    """(source_file, record, cells): the records behind the header, cells by place; short records have null cells, surplus ones are dropped."""
+    """(source_file, file, record, cells): the records behind the header, cells by place; short records have null cells, surplus ones are dropped."""
     records = scan_records(spark, path, delimiter, encoding).filter("record > 1")
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "emptyValue": "", "maxCharsPerColumn": "-1"}
-    return records.select("source_file", "record", F.from_csv(F.regexp_replace("raw", "\r$", ""), schema, options).alias("cells"))
+    # Files of a folder come in the order of their names; the driver knows them from planning the scan.
+    files = sorted({unquote(f.rpartition("/")[2]) for f in spark.read.text(path).inputFiles()})
+    if len(files) > 1:
+        places = spark.createDataFrame(list(zip(files, range(len(files)))), "source_file string, file long")
+        records = records.join(F.broadcast(places), "source_file")
+    else:
+        records = records.withColumn("file", F.lit(0).cast("long"))
+    return records.select("source_file", "file", "record", F.from_csv(F.regexp_replace("raw", "\r$", ""), schema, options).alias("cells"))
 
 
 def read_text_frame(spark: SparkSession, path: str, required: Sequence[str] = (), delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
@@ -44,7 +52,7 @@ def read_text_frame(spark: SparkSession, path: str, required: Sequence[str] = ()
     if missing := [c for c in required if c not in names]:
         raise InputError(f"missing column(s): {', '.join(missing)}")
     cell = {n: F.coalesce(F.col(f"cells.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)}
-    return _cells(spark, path, names, delimiter, encoding).select(*cell.values(), (F.col("record") - 2).alias("ord"))
+    return _cells(spark, path, names, delimiter, encoding).select(*cell.values(), (F.shiftleft("file", 33) + F.col("record") - 2).alias("ord"))
 
 
 def read_export(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
@@ -129,6 +137,11 @@ def write_csv(df: DataFrame, path: str, order: Sequence[str | F.Column] = ()) ->
     ordered.select([c for c in df.columns if c != "ord"]).write.mode("overwrite").options(**options).csv(path)
 
 
+def write_rows(df: DataFrame, path: str, order: Sequence[str | F.Column] = ()) -> None:
+    """A folder of files where path ends with a slash, else one file."""
+    (write_csv if path.endswith("/") else write_single_csv)(df, path, order)
+
+
 def write_ledger(rows: DataFrame, path: str) -> None:
     """The native form of a ledger: Parquet, by month, so that date ranges prune files."""
     rows.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("overwrite").partitionBy("month").parquet(path)
