@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import pairwise
 
+import numpy as np
+
 from tillweave.config.strategies import ALIGNS, MULTILINES, PAGE_DETECTS, TABLE_ENDS
 
 MARGIN = 10
@@ -138,40 +140,35 @@ def right_edge(left: Box, right: Box) -> float:
     return right.x1
 
 
+def _floor(page: PrintedPage) -> float:
+    return page.height - MARGIN
+
+
 @TABLE_ENDS.add("spacing_gap")
 def spacing_gap(page: PrintedPage) -> float:
     """The line before the first gap that is over twice the upper median of the gaps below the header."""
-    heights = sorted({round(w.top, 1) for w in page.words if w.top > page.header_top + BELOW_HEADER})
-    gaps = [b - a for a, b in pairwise(heights)]
-    usual = sorted(gaps)[len(gaps) // 2] if gaps else 0
-    return next((y for y, gap in zip(heights, gaps) if gap > 2 * usual), page.height - MARGIN)
+    heights = np.unique(np.round([w.top for w in page.words if w.top > page.header_top + BELOW_HEADER], 1))
+    gaps = np.diff(heights)
+    wide = np.flatnonzero(gaps > 2 * np.sort(gaps)[gaps.size // 2]) if gaps.size else gaps
+    return float(heights[wide[0]]) if wide.size else _floor(page)
 
 
 @TABLE_ENDS.add("footer_text")
 def footer_text(page: PrintedPage) -> float:
     """The first line below the header, in flow order, that holds the profile's text."""
-    for line in page.lines.values():
-        top = min(w.top for w in line)
-        if top > page.header_top and page.rules.footer in " ".join(w.text for w in line):
-            return top
-    return page.height - MARGIN
+    marked = (min(w.top for w in line) for line in page.lines.values() if page.rules.footer in " ".join(w.text for w in line))
+    return next((top for top in marked if top > page.header_top), _floor(page))
 
 
-@TABLE_ENDS.add("page_bottom")
-def page_bottom(page: PrintedPage) -> float:
-    return page.height - MARGIN
+TABLE_ENDS.add("page_bottom")(_floor)
 
 
 @MULTILINES.add("merge_into_previous")
 def merge_into_previous(lines: list[dict[str, str]]) -> list[dict[str, str]]:
-    """A line that holds nothing but a description goes on with the row above, unless it is the page's first."""
-    rows: list[dict[str, str]] = []
-    for line in lines:
-        if rows and {f for f, text in line.items() if text} == {"description"}:
-            rows[-1]["description"] = f"{rows[-1]['description']} {line['description']}".strip()
-        else:
-            rows.append(dict(line))
-    return rows
+    """Rows begin at lines that hold more than a description, and at the page's first; the descriptions up to the next are one."""
+    begins = [k for k, line in enumerate(lines) if k == 0 or set(filter(line.get, line)) != {"description"}]
+    told = [" ".join(line["description"] for line in lines[k:stop]).strip() for k, stop in pairwise([*begins, len(lines)])]
+    return [lines[k] | {"description": text} for k, text in zip(begins, told)]
 
 
 @MULTILINES.add("none")
