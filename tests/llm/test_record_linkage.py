@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import re
 import time
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -147,6 +149,45 @@ def test_sub_blocks_lose_no_link(spark):
     assert got[0] == got[1] and len(got[0]) > 150
 
 
+@pytest.mark.parametrize("days", [1, 6])
+def test_weights_are_learned_from_all_pairs_of_large_blocks_too(spark, monkeypatch, days):
+    """The counts the weights come from are those of every pair, met in a sub-block or not."""
+    texts = written_variants(160, seed=9) + ["", None, "-", "12345", "123", "100001 100002", "POS", "x", "x 1", "Mirrelta 100003 Cycles 10"]
+    data = [(1 + i, "hot", "1", DAY + dt.timedelta(i * 7 % days), t) for i, t in enumerate(texts)]
+    data += [(500 + i, "cool", "1", DAY + dt.timedelta(i), t) for i, t in enumerate(texts[:4])]
+    history, batch = data[::2], data[1::2]
+    classes = {}
+    for part, new in ((history, False), (batch, True)):
+        for _, account, _, day, text in part:
+            key = account, day, " ".join(sorted(w for x in R._split(text) for w in x))
+            classes[key] = classes.get(key, False) or new
+    want = Counter()
+    for (account, day, text), new in classes.items():
+        for other_account, other_day, other in classes:
+            apart = abs((day - other_day).days)
+            if new and account == other_account and apart <= R.DAYS and (day, text) != (other_day, other):
+                want[*R.compare_text(text, other), apart] += 1
+    counted, learn = [], R.learn_weights
+    monkeypatch.setattr(R, "learn_weights", lambda counts: counted.append(dict(counts)) or learn(counts))
+    links, weights = [], []
+    for block_classes in (10**6, 12, 0):
+        index = R.LinkageIndex(spark, block_classes=block_classes)
+        index.accept(rows(spark, history))
+        links.append({tuple(r) for r in index.link(rows(spark, batch)).collect()})
+        weights.append(index.weights)
+    assert counted == [want] * 3
+    assert weights[0] == weights[1] == weights[2] and links[0] == links[1] == links[2] and len(links[0]) > 20
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.booleans(), st.booleans())
+def test_words_and_numbers_alone_compare_as_in_their_texts(seed, bare_a, bare_b):
+    a, b = (random.Random(seed + 1).choice(["", "12 345", "345"]) if bare else " ".join(re.findall(r"\w+", t.lower())) for t, bare in zip(written_variants(2, seed), (bare_a, bare_b)))
+    words, numbers = R.compare_text(a, b)
+    assert R.compare_text(R.words_alone(a), R.words_alone(b))[0] == words
+    assert R.compare_text(R.numbers_alone(a), R.numbers_alone(b))[1] == numbers
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 10**6))
 def test_texts_that_can_be_linked_share_a_sub_key(seed):

@@ -4,15 +4,18 @@ Accepted records are persisted in a blocking-key table, bucketed by the hash of
 partitioned by year. A batch probes it with the keys of its own days and the two days around: only the batch
 moves, each bucket is read where it lies, and only history with a probed key goes further. Records equal but for
 writing and order are taken together as classes, classes of one block are compared field by field, and the
-comparison levels are weighed with weights that expectation maximisation learns from the counts of the pairs of
-the first batch, those of blocks compared pair by pair; they are kept beside the table, so that a row's answer doesn't depend on later batches.
+comparison levels are weighed with weights that expectation maximisation learns from the counts of all pairs of
+the first batch, those never compared one by one included; they are kept beside the table, so that a row's answer
+doesn't depend on later batches.
 Links append parents to a union-find forest, for the roots and the new records they touch and for no others.
 
 Words count as the same if they are equal, misspelt or cut off, and misspelt words must share a key: of their
 first four letters or of their last four, one at most may differ. So a block of many classes
 need not be compared pair by pair: its classes meet in sub-blocks of word key and number key, each class asking
 only with its rarest words. As at least TEXT_LEVELS[0] of one side's letters must be accounted for, words that hold
-more than the rest of its letters can't all be without a partner, so nothing is lost by that.
+more than the rest of its letters can't all be without a partner, so nothing is lost by that. The pairs that don't
+meet are counted without being listed: what texts of equal words share is compared once, what texts of equal numbers
+share likewise, and the pairs in all follow from the sizes of the blocks (large_counts).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -298,14 +301,21 @@ def _words() -> F.Column:
 
 
 _BLOCK = ("account", "amount", "date")
-_COMPARED = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("words", "numbers", "days")), T.StructField("small", T.BooleanType())])
+_KEYED = T.StructType([T.StructField("rep", T.LongType()), T.StructField("asks", T.BooleanType()), T.StructField("k", T.StringType())])
+Levels = tuple[int, int, int]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
-        levels = [compare_text(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-        words, numbers = (pa.array([level[k] for level in levels], pa.int32()) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words, numbers, part.column(4), part.column(5)], names=_COMPARED.names)
+def _compared(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, text_a, text_b, more) with the levels of their words and numbers in place of the texts."""
+    schema = T.StructType([*pairs.schema.fields[:2], *(T.StructField(n, T.IntegerType()) for n in ("words", "numbers")), *pairs.schema.fields[4:]])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            levels = [compare_text(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            words, numbers = (pa.array([level[k] for level in levels], pa.int32()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], words, numbers, *part.columns[4:]], names=schema.names)
+
+    return pairs.mapInArrow(compare, schema)
 
 
 def _all_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -315,33 +325,95 @@ def _all_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old, list(_BLOCK)).filter("a <> b").select("a", "b", "text_a", "text_b", F.abs(F.datediff("date", "date_a")).alias("days"), F.lit(True).alias("small"))
 
 
-def _sub_block_pairs(classes: DataFrame) -> DataFrame:
-    """The pairs of _all_pairs of new classes with all that can be linked, by way of the sub-blocks they share."""
+def _meeting(classes: DataFrame, keys_of: Callable[[str, list[str], bool], set[str]]) -> DataFrame:
+    """Pairs of new classes a with listed ones b, themselves too, of near days that share a key: all columns of both."""
     words = classes.select("rep", "account", "amount", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     counts = words.groupBy("account", "amount", "w").agg(F.count("*").alias("n"))
     order = words.join(counts, ["account", "amount", "w"]).groupBy("rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x.w).alias("rarest"))
-    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("asks", T.BooleanType()), T.StructField("k", T.StringType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out: tuple[list, list, list] = ([], [], [])
             for rep, text, rarest in zip(*(part.column(c).to_pylist() for c in ("rep", "text", "rarest"))):
                 for asks in (True, False):
-                    for k in sub_keys(text, rarest, asks):
+                    for k in keys_of(text, rarest, asks):
                         for column, value in zip(out, (rep, asks, k)):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(out, (pa.int64(), pa.bool_(), pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(out, (pa.int64(), pa.bool_(), pa.string()))], names=_KEYED.names)
 
-    own = classes.select("rep", *_BLOCK, "_new")
-    keyed = written(classes.join(order, "rep").select("rep", "text", "rarest").mapInArrow(keys, schema).join(own, "rep"), "sub-blocks")
+    own = classes.select("rep", *_BLOCK, "_new", "_listed")
+    keyed = written(classes.join(order, "rep").select("rep", "text", "rarest").mapInArrow(keys, _KEYED).join(own, "rep"), "sub-blocks")
     met = lambda day: F.xxhash64("account", "amount", day, "k").alias("_h")
     new = keyed.filter("_new").withColumn("day", _near_days()).select(F.col("rep").alias("a"), "asks", met(F.col("day")))
-    every = keyed.select(F.col("rep").alias("b"), (~F.col("asks")).alias("asks"), met(F.col("date")))
-    pairs = new.join(every, ["_h", "asks"]).filter("a <> b").select("a", "b").distinct()
-    side = lambda x: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("text", *_BLOCK)))
+    listed = keyed.filter("_listed").select(F.col("rep").alias("b"), (~F.col("asks")).alias("asks"), met(F.col("date")))
+    pairs = new.join(listed, ["_h", "asks"]).select("a", "b").distinct()
+    side = lambda x: classes.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in classes.columns if c != "rep"))
     days = F.abs(F.datediff("date_b", "date_a"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("account_a") == F.col("account_b")) & (F.col("amount_a") == F.col("amount_b")) & (days <= DAYS))
-    return full.select("a", "b", "text_a", "text_b", days.alias("days"), F.lit(False).alias("small"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("days", days)
+    return full.filter((F.col("account_a") == F.col("account_b")) & (F.col("amount_a") == F.col("amount_b")) & (F.col("days") <= DAYS))
+
+
+def _sub_block_pairs(classes: DataFrame) -> DataFrame:
+    """The pairs of _all_pairs of new classes with listed ones that can be linked, by way of the sub-blocks they share."""
+    return _meeting(classes, sub_keys).filter("a <> b").select("a", "b", "text_a", "text_b", "days", F.lit(False).alias("small"))
+
+
+def words_alone(text: str) -> str:
+    """A text with the words of text whose words compare as those of text do."""
+    words, numbers = _split(text)
+    return " ".join(words) or ("0" if numbers else "")
+
+
+def numbers_alone(text: str) -> str:
+    """A text with the numbers of text whose numbers compare as those of text do."""
+    words, numbers = _split(text)
+    return " ".join(numbers) or ("x" if words else "")
+
+
+def large_counts(classes: DataFrame, compared: DataFrame) -> dict[Levels, int]:
+    """How many pairs of new classes with listed ones have each (words, numbers, days), of all pairs, compared or not.
+
+    compared: those of _sub_block_pairs, which hold all pairs that can be linked. Texts of equal words have the same
+    words level with any other, so words that share a key are compared once for each day, with the numbers of
+    classes that have them: the pairs of a words level above 0, whatever their numbers. Numbers go likewise: the
+    pairs without a conflict, whatever their words. What is left of all near pairs has neither.
+    """
+    schema = T.StructType([*classes.schema.fields, *(T.StructField(n, T.StringType()) for n in ("_w", "_n"))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            texts = part.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f(t) for t in texts], pa.string()) for f in (words_alone, numbers_alone))], names=schema.names)
+
+    sides = written(classes.mapInArrow(split, schema), "sides")
+    sizes = [F.count_if(c).alias(n) for c, n in ((F.col("_new"), "news"), (F.col("_listed"), "listeds"), (F.col("_new") & F.col("_listed"), "both"))]
+
+    def marginal(side: str, level: str, keys_of: Callable[[str, list[str], bool], set[str]]) -> dict[tuple[int, int], int]:
+        groups = sides.groupBy(*_BLOCK, F.col(side).alias("text")).agg(F.min("rep").alias("rep"), *sizes)
+        groups = written(groups.withColumn("_new", F.col("news") > 0).withColumn("_listed", F.col("listeds") > 0), "groups")
+        # A class makes no pair with itself.
+        n = F.col("news_a") * F.col("listeds_b") - F.when(F.col("a") == F.col("b"), F.col("both_a")).otherwise(0)
+        pairs = _compared(_meeting(groups, keys_of).select("a", "b", "text_a", "text_b", "days", n.alias("n")))
+        return {(r[0], r[1]): r[2] for r in pairs.groupBy(level, "days").agg(F.sum("n")).collect()}
+
+    by_words = marginal("_w", "words", sub_keys)
+    by_numbers = marginal("_n", "numbers", lambda text, _, asking: _number_keys(_split(text)[1], asking))
+    days = sides.groupBy(*_BLOCK).agg(*sizes)
+    new = days.filter("news > 0").select("account", "amount", "news", F.col("date").alias("date_a"), _near_days().alias("date"))
+    near = new.join(days.drop("news"), list(_BLOCK)).withColumn("days", F.abs(F.datediff("date", "date_a")))
+    n = F.col("news") * F.col("listeds") - F.when(F.col("days") == 0, F.col("both")).otherwise(0)
+    every = {r[0]: r[1] for r in near.groupBy("days").agg(F.sum(n)).collect()}
+
+    linkable = compared.filter((F.col("words") > 0) & (F.col("numbers") != CONFLICT)).groupBy("words", "numbers", "days").count()
+    out = {(r[0], r[1], r[2]): r[3] for r in linkable.collect()}
+    some, fitting = range(1, len(TEXT_LEVELS) + 1), [r for r in range(NONE + 1) if r != CONFLICT]
+    for d, total in every.items():
+        for w in some:
+            out[w, CONFLICT, d] = by_words.get((w, d), 0) - sum(out.get((w, r, d), 0) for r in fitting)
+        for r in fitting:
+            out[0, r, d] = by_numbers.get((r, d), 0) - sum(out.get((w, r, d), 0) for w in some)
+        out[0, CONFLICT, d] = total - sum(n for (_, _, day), n in out.items() if day == d)
+    return {levels: n for levels, n in out.items() if n}
 
 
 class LinkageIndex:
@@ -407,20 +479,23 @@ class LinkageIndex:
         grouped = both.withColumn("text", _words()).groupBy(*_BLOCK, "text")
         return grouped.agg(F.min("id").alias("rep"), F.max("_new").alias("_new"))
 
-    def _pairs(self, classes: DataFrame) -> DataFrame:
+    def _pairs(self, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The pairs to compare, and the classes that meet by sub-blocks, if there are any."""
         sizes = classes.groupBy(*_BLOCK).agg(F.count("*").alias("n"), F.max("_new").alias("_new"))
         large = sizes.filter(F.col("n") > self.block_classes).select("account", "amount", _near_days().alias("date")).distinct()
         large = written(large, "large-blocks")
         if large.isEmpty():
-            return _all_pairs(classes.filter("_new"), classes)
+            return _all_pairs(classes.filter("_new"), classes), None
         small = classes.join(large, list(_BLOCK), "left_anti")
-        return _all_pairs(classes.filter("_new"), small).unionByName(_sub_block_pairs(self._reachable(classes, large)))
+        meeting = written(self._reachable(classes, large), "reachable")
+        return _all_pairs(classes.filter("_new"), small).unionByName(_sub_block_pairs(meeting)), meeting
 
     def _reachable(self, classes: DataFrame, large: DataFrame) -> DataFrame:
-        """The classes of large blocks, and as askers the new ones of the days around them."""
+        """The classes of large blocks, listed, and as askers the new ones of the days around them."""
         near = large.select("account", "amount", _near_days().alias("date")).distinct()
         listed = large.withColumn("_listed", F.lit(True))
-        return classes.join(near, list(_BLOCK), "left_semi").join(listed, list(_BLOCK), "left").filter("_new or _listed").drop("_listed")
+        reached = classes.join(near, list(_BLOCK), "left_semi").join(listed, list(_BLOCK), "left")
+        return reached.withColumn("_listed", F.coalesce("_listed", F.lit(False))).filter("_new or _listed")
 
     def link(self, batch: DataFrame) -> DataFrame:
         """(kept_id, in_id): rows of batch that repeat a record present, with the smallest id of those they repeat.
@@ -431,13 +506,15 @@ class LinkageIndex:
         """
         batch = written(batch.select(*RECORD), "batch")
         classes = written(self._classes(batch), "classes")
-        compared = written(self._pairs(classes).mapInArrow(_compare, _COMPARED), "compared")
+        pairs, meeting = self._pairs(classes)
+        compared = written(_compared(pairs), "compared")
         if self.weights is None:
-            # Large blocks meet by sub-blocks, which leave out pairs that don't fit, so they can't be learned from.
             # At most 75 combinations of levels come to the driver, whatever the number of pairs.
-            counts = [((r.words, r.numbers, r.days), r["count"]) for r in compared.filter("small").groupBy("words", "numbers", "days").count().collect()]
+            counts = Counter({(r[0], r[1], r[2]): r[3] for r in compared.filter("small").groupBy("words", "numbers", "days").count().collect()})
+            if meeting is not None:
+                counts.update(large_counts(meeting, compared.filter("not small")))
             if counts:
-                self.weights = learn_weights(counts)
+                self.weights = learn_weights(sorted(counts.items()))
                 self._keep("weights", {"fields": self.weights.fields, "start": self.weights.start})
         weights = self.weights or learn_weights([])
         linkable = (F.col("words") > 0) & (F.col("numbers") != CONFLICT)
